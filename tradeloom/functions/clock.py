@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TIME = r"([0-9]{1,2}):([0-9]{2}):([0-9]{2})(?:[.,]([0-9]{1,9}))?(?: ?([AaPp][Mm])(?![A-Za-z]))?"
@@ -39,10 +39,10 @@ def zone_names() -> list[str]:
     return sorted(z for z in available_timezones() if "/" in z and not z.startswith(("posix/", "right/", "SystemV/")))
 
 
-def abbreviations(spark: SparkSession, zones: DataFrame, years: tuple[int, int] = (2015, 2030)) -> DataFrame:
-    """(tz_name, abbr, offset_s): what each abbreviation means inside a zone. An abbreviation with two meanings in one
-    zone has no row. zones: column tz_name; there are about 600 IANA zones, which bounds what is read to the driver."""
-    rows = []
+def abbreviations(zones: DataFrame, years: tuple[int, int] = (2015, 2030)) -> dict[tuple[str, str], int]:
+    """Offset in seconds by (tz_name, abbreviation). An abbreviation with two meanings in one zone is left out.
+    zones: column tz_name; there are about 600 IANA zones, which bounds what is read to the driver."""
+    out: dict[tuple[str, str], int] = {}
     for (name,) in zones.select("tz_name").where("tz_name is not null").distinct().collect():
         try:
             z = ZoneInfo(name)
@@ -54,8 +54,14 @@ def abbreviations(spark: SparkSession, zones: DataFrame, years: tuple[int, int]
             x = t.astimezone(z)
             seen.setdefault(x.tzname(), set()).add(int(x.utcoffset().total_seconds()))
             t += timedelta(days=7)
-        rows += [(name, a, o.pop()) for a, o in sorted(seen.items()) if len(o) == 1 and a.isalpha()]
-    return spark.createDataFrame(rows, "__tz string, __abbr string, __abbr_s long")
+        out |= {(name, a): o.pop() for a, o in sorted(seen.items()) if len(o) == 1 and a.isalpha()}
+    return out
+
+
+def _bound(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with further columns worked out once. A generator keeps the optimizer from copying their expressions into
+    every later use (a filter on the last of them would otherwise hold all of them many times over)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
 def _int(parts: Column, i: int) -> Column:
@@ -94,7 +100,6 @@ def normalise_timestamps(
     and unknown zones give null (a text with its own zone needs no feed unless its date is numeric). Further columns
     of df are kept; columns of zones are not added. Digits beyond the microsecond are dropped.
     """
-    spark = df.sparkSession
     z = zones.groupBy(F.col("feed").alias("__feed")).agg(F.min(F.struct("tz_name", "date_order")).alias("__z"))
     z = z.select("__feed", F.col("__z.tz_name").alias("__tz"), F.col("__z.date_order").alias("__order"))
     t = F.col("__t")
@@ -102,7 +107,7 @@ def normalise_timestamps(
     for pattern, to in reversed(CASCADE):
         fields = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, to)).otherwise(fields)
     x = df.withColumn("__t", F.when(F.length(text) <= 64, F.col(text))).join(z, F.col(feed) == F.col("__feed"), "left")
-    x = x.withColumn("__f", F.split(fields, r"\|")).drop("__feed", "__t")
+    x = _bound(x, __f=F.split(fields, r"\|")).drop("__feed", "__t")
     f = F.col("__f")
     kind, frac = f[0], F.col("__f")[7]
     dmy = F.col("__order")
@@ -111,23 +116,22 @@ def normalise_timestamps(
     day = F.when(kind.isin("c", "m"), _int(f, 3)).when(dmy == "DMY", _int(f, 2)).when(dmy == "MDY", _int(f, 3))
     half = F.upper(f[8])
     hour = F.when(half == "", _int(f, 4)).when(_int(f, 4).between(1, 12), _int(f, 4) % 12 + F.when(half == "PM", 12).otherwise(0))
-    x = x.select(
-        *[c for c in x.columns if c != "__f"],
-        kind.alias("__kind"), _int(f, 1).alias("__y"), month.alias("__mo"), day.alias("__d"), hour.alias("__h"), _int(f, 5).alias("__mi"), _int(f, 6).alias("__s"),
-        F.substring(F.rpad(frac, 6, "0"), 1, 6).try_cast("long").alias("__us"), f[9].alias("__zone"),
-    )
+    us = F.substring(F.rpad(frac, 6, "0"), 1, 6).try_cast("long")
+    x = _bound(x, __kind=kind, __y=_int(f, 1), __mo=month, __d=day, __h=hour, __mi=_int(f, 5), __s=_int(f, 6), __us=us, __zone=f[9]).drop("__f")
     y, mo, d, h, mi, s = (F.col(c) for c in ("__y", "__mo", "__d", "__h", "__mi", "__s"))
     ok = y.between(1, 9999) & mo.between(1, 12) & (d >= 1) & h.between(0, 23) & mi.between(0, 59) & s.between(0, 59)
     first = F.make_date(F.when(ok, y).cast("int"), F.when(ok, mo).cast("int"), F.lit(1))
     days = F.when(d <= F.dayofmonth(F.last_day(first)), F.unix_date(first) + d - 1)
-    x = x.withColumn("__local", (days * 86400 + h * 3600 + mi * 60 + s) * F.lit(1_000_000) + F.col("__us"))
-    ab = abbreviations(spark, zones)
-    x = x.join(ab.withColumnsRenamed({"__tz": "__abtz", "__abbr": "__ab"}), (F.col("__tz") == F.col("__abtz")) & (F.col("__zone") == F.col("__ab")), "left").drop("__abtz", "__ab")
+    local = (days * 86400 + h * 3600 + mi * 60 + s) * F.lit(1_000_000) + F.col("__us")
+    known = [F.lit(v) for (tz, ab), o in abbreviations(zones).items() for v in (f"{tz} {ab}", o)]
+    lookup = F.try_element_at(F.create_map(*known), F.concat_ws(" ", "__tz", "__zone")) if known else F.lit(None).cast("int")
+    abbr = F.when(F.col("__zone").rlike("^[A-Z]{2,5}$"), lookup.cast("long"))
+    own = F.when(F.col("__zone") == "", F.col("__tz")).when(F.col("__zone").contains("/"), F.col("__zone"))
+    x = _bound(x, __local=local, __abbr_s=abbr, __in=F.when(own.isin([*zone_names(), "UTC", "GMT"]), own))
     zone, local = F.col("__zone"), F.col("__local")
     digits = F.regexp_replace(zone, "[^0-9]", "")
     oh, om = F.substring(digits, 1, 2).try_cast("long"), F.coalesce(F.substring(digits, 3, 2).try_cast("long"), F.lit(0))
     offset = F.when((oh <= 18) & (om <= 59), F.when(zone.startswith("-"), -1).otherwise(1) * (oh * 3600 + om * 60))
-    named = F.when(zone.isin(zone_names()), zone)
     count = F.lit(None).cast("long")
     lo, hi = (_us(n) for n in COUNT_YEARS)
     for unit, div in ((1_000_000, 1), (1000, 1), (1, 1), (1, 1000)):
@@ -140,8 +144,7 @@ def normalise_timestamps(
         .when(zone.isin("Z", "z", "UTC", "GMT") & F.col("__abbr_s").isNull(), local)
         .when(zone.rlike("^[+-]"), local - offset * F.lit(1_000_000))
         .when(F.col("__abbr_s").isNotNull(), local - F.col("__abbr_s") * F.lit(1_000_000))
-        .when(zone == "", local_to_utc(local, F.when(F.col("__tz").isin(zone_names() + ["UTC", "GMT"]), F.col("__tz")), ambiguous, nonexistent))
-        .otherwise(local_to_utc(local, named, ambiguous, nonexistent))
+        .otherwise(local_to_utc(local, F.col("__in"), ambiguous, nonexistent))
     )
     keep = [c for c in df.columns if c != out]
-    return x.select(*keep, utc.alias(out))
+    return _bound(x.drop(*[out] if out in df.columns else []), **{out: utc}).select(*keep, out)

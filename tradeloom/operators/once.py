@@ -1,7 +1,7 @@
 """Messages delivered more than once: Bloom filters per time bucket, exact check of what they let through.
 
 1. The messages of each time bucket are counted exactly (partial aggregation first, so a message repeated a million times
-   is one row before the shuffle). This is the bucketed storage.
+   is one row before the shuffle) and written to the shared folder. This is the bucketed storage.
 2. A pass over the buckets in order of time keeps one filter per bucket. An identifier that no earlier filter knows is
    definitely new and leaves the pass; the others go on with the buckets whose filters matched.
 3. Only those are looked up, by exact identity, in the storage of the matching buckets alone.
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.session import written
+
 #: Words of 64 bits in a slice of a filter, and identities that a slice takes before its bucket gets another.
 WORDS, FILL = 4096, 16384
 
@@ -105,7 +107,7 @@ def screened(store: DataFrame, key: list[str]) -> DataFrame:
 def repeats(messages: DataFrame, key: list[str], bucket: Column) -> DataFrame:
     """(key, __bucket, __earlier): per time bucket, the messages that an earlier bucket holds (__earlier) or that stand
     several times in this bucket (not __earlier). A message's first bucket has no row with __earlier."""
-    store = storage(messages, key, bucket)
+    store = written(storage(messages, key, bucket), "messages-by-bucket")
     maybe = screened(store, key).select(*key, F.col("__bucket").alias("__later"), F.explode("__in").alias("__bucket"))
     sure = maybe.join(store.select(*key, "__bucket"), [*key, "__bucket"], "left_semi").select(*key, F.col("__later").alias("__bucket"), F.lit(True).alias("__earlier"))
     return sure.unionByName(store.where("__copies > 1").select(*key, "__bucket", F.lit(False).alias("__earlier")))

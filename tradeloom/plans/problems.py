@@ -197,3 +197,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p1_found, p1_plan, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
     )
 }
+
+_CANON = r"upper(regexp_replace(symbol, '^[\s]+|[\s]+$', '', 'g'))"
+_OPS = "lower(regexp_replace(op_type, '^[\\s]+|[\\s]+$', '', 'g'))"
+_P3 = f"""with ev as (select {_CANON} as symbol, trade_id, lsn, payload, case when {_OPS} in ('insert','create','c','r','read','update','u') then 'w' when {_OPS} in ('delete','d') then 'd' end as op
+  from cdc_mutation_events), ok as (select * from ev where op is not null and symbol <> '' and trade_id is not null and lsn is not null),
+k as (select symbol, trade_id, max(lsn) filter (op = 'w') as w, max(lsn) filter (op = 'd') as d from ok group by all)"""
+_P7 = f"""with t as (select {_CANON} as symbol, trade_id, ingested_at, trade_timestamp, price, row_number() over (partition by {_CANON}, trade_id order by ingested_at, trade_timestamp nulls first, price, quantity) as rn from realtime_raw_trades
+  where symbol is not null and trade_id is not null and ingested_at is not null),
+ok as (select *, epoch_us(trade_timestamp) // 60000000 * 60000 as window_start_ms from t where rn = 1 and trade_timestamp is not null and epoch_us(ingested_at) - epoch_us(trade_timestamp) <= 600000000)"""
+_LAKE_SQL = f"""with r as (select partition_year as y, partition_month as m, partition_day as d, {_CANON} as s, source_file as f, trade_id as t, price as p, quantity as q, trade_timestamp as ts from stg_market_trades where source_file is not null),
+man as (select y, m, d, s, f, count(*) as n, count(*) filter (t is null) as bad from r group by all),
+rec as (select distinct y, m, d, s, f, hash(t, p, q, ts) as h from r where t is not null),
+siz as (select y, m, d, s, f, count(*) as k from rec group by all),
+met as (select a.y, a.m, a.d, a.s, a.f, b.f as g, count(*) as k from rec a join rec b on a.y = b.y and a.m = b.m and a.d = b.d and a.s = b.s and a.h = b.h and a.f <> b.f group by all),
+gone as (select distinct met.f from met join siz a on met.f = a.f and met.y = a.y and met.m = a.m and met.d = a.d and met.s = a.s join siz b on met.g = b.f and met.y = b.y and met.m = b.m and met.d = b.d and met.s = b.s
+  join man ma on ma.f = met.f and ma.bad = 0 join man mb on mb.f = met.g where met.k = a.k and (b.k > a.k or mb.bad > 0 or met.g < met.f)),
+sm as (select y, m, d, s, f, count(*) over (partition by y, m, d, s) as k from man where n < 40)"""
+
+SQL: dict[str, str] = {
+    "p1_found": _LAKE_SQL + " select f as source_file from sm where k >= 2 union select f from gone",
+    "p3_found": _P3 + " select symbol, trade_id, w as lsn from k where w is not null and (d is null or w > d)",
+    "p3_current": _P3
+    + """, last as (select ok.symbol, ok.trade_id, ok.lsn, max(payload) as payload from ok join k on ok.symbol = k.symbol and ok.trade_id = k.trade_id and ok.lsn = k.w where op = 'w' and (d is null or w > d) group by all)
+select symbol, trade_id, try_cast(json_extract_string(payload, '$.price') as double) as price, try_cast(json_extract_string(payload, '$.quantity') as double) as quantity,
+try_cast(json_extract_string(payload, '$.quote_quantity') as double) as quote_quantity, try_cast(json_extract_string(payload, '$.is_buyer_maker') as boolean) as is_buyer_maker, lsn from last""",
+    "p7_found": _P7
+    + f""", n as (select symbol, window_start_ms, count(*) as n from ok group by all),
+c as (select {_CANON} as symbol, epoch_ms(window_start) as window_start_ms, arg_max(trade_count, emitted_at) as c from realtime_market_candles group by all)
+select coalesce(n.symbol, c.symbol) as symbol, coalesce(n.window_start_ms, c.window_start_ms) as window_start_ms from n full join c on n.symbol = c.symbol and n.window_start_ms = c.window_start_ms where coalesce(n, 0) <> coalesce(c, 0)""",
+    "p7_candles": _P7
+    + """ select symbol, window_start_ms, arg_min(price, row(trade_timestamp, trade_id)) as open_price, max(price) as high_price, min(price) as low_price, arg_max(price, row(trade_timestamp, trade_id)) as close_price, count(*) as trade_count
+from ok group by symbol, window_start_ms""",
+    "p6_found": r"""with num as (select '^[+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$' as n),
+raw as (select row_id, regexp_replace(raw_line, '[\r\n]+$', '') as l from raw_trade_lines),
+cut as (select row_id, regexp_full_match(l, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*)){6}') as ok, regexp_extract_all(l || ',', '("([^"]|"")*"|[^",]*),', 1) as f from raw),
+val as (select row_id, ok, list_transform(f, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as f from cut),
+j as (select row_id, ok, f[1] as trade_id, f[3] as price, f[4] as quantity, lower(trim(f[1])) = 'trade_id' and lower(trim(f[3])) = 'price' as head from val
+  union all select row_id, true, trade_id, price, quantity, false from unit_test_50),
+b as (select row_id, ok, coalesce(head and ok, false) as head, trim(trade_id, ' ' || chr(9)) as t, trim(price, ' ' || chr(9)) as p, trim(quantity, ' ' || chr(9)) as q from j)
+select row_id from b, num where not head and (ok is null or not ok or coalesce(not regexp_full_match(t, '[0-9]+') or coalesce(try_cast(t as bigint), 0) <= 0, true)
+  or coalesce(not regexp_matches(p, n) or not (coalesce(try_cast(p as double), 0) > 0) or try_cast(p as double) = 'inf'::double, true) or coalesce(not regexp_matches(q, n) or not (coalesce(try_cast(q as double), 0) > 0) or try_cast(q as double) = 'inf'::double, true))""",
+}
