@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A rename costs its content distance (0 to 1); adding and deleting a field cost half of this each.
-SPLIT_COST = 0.6
+SPLIT_COST = 0.48
 #: Levels of nested objects that become inner nodes; deeper objects are leaves of type object.
 DEPTH = 4
 _QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -262,3 +262,46 @@ def file_changes(df: DataFrame, stream: str, seq: str, file: str, body: str, dep
             yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(list(c), pa.string()) for c in cols]], names=["stream", "seq", "file", "operation", "old_field", "new_field"])
 
     return pair.mapInArrow(diff, f"stream {t['stream']}, seq {t['seq']}, file {t['file']}, operation string, old_field string, new_field string")
+
+
+def projections(df: DataFrame, file: str, body: str, columns: list[str], depth: int = DEPTH) -> DataFrame:
+    """(file, projection map<path, column>): which field of a file fills which of ``columns``.
+
+    A field that bears a column's name fills it; the other fields go to the columns left, by least content distance to
+    what the fields of that name hold over all files. Each file is settled by itself. What is read to the driver is one
+    profile per column.
+    """
+    src = df.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(body).alias("body"))
+    pooled = {r["path"]: r.asDict(recursive=True) for r in profiles(src, [], "body", depth).where(F.col("path").isin(columns)).collect()}
+    p = profiles(src, ["file"], "body", depth)
+    per = p.groupBy("file").agg(F.collect_list(F.struct(*[c for c in p.columns if c != "file"])).alias("fields"))
+
+    def settle(fields: list[dict[str, Any]]) -> list[tuple[str, str]]:
+        have = {f["path"] for f in fields}
+        out = [(c, c) for c in columns if c in have]
+        rest, want = [f for f in fields if f["path"] not in columns], [c for c in columns if c not in have and c in pooled]
+        got = assign([[distance(f, pooled[c]) for c in want] for f in rest], SPLIT_COST / 2, SPLIT_COST / 2)
+        return out + [(rest[i]["path"], want[j]) for i, j in enumerate(got) if j >= 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = [settle(f) for f in b.column("fields").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["file", "projection"])
+
+    return per.mapInArrow(run, f"file {src.schema['file'].dataType.simpleString()}, projection map<string,string>")
+
+
+def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH) -> DataFrame:
+    """``keep`` and one text column per name of ``columns``, whatever the record's file calls it; absent is null.
+
+    Records that repeat stay; a body that is no JSON object gives nulls. Names in ``keep`` may not clash with ``columns``.
+    """
+    if set(keep) & set(columns):
+        raise ValueError(f"columns named twice: {sorted(set(keep) & set(columns))}")
+    v = F.try_parse_json(F.col(body))
+    x = df.select(*keep, F.col(file).alias("__f"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("__v"))
+    x = x.join(projections(df, file, body, columns, depth).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left")
+    x = x.select(*keep, "projection", _entries(F.col("__v"), depth).alias("__e"))
+    named = F.map_from_entries(F.filter(F.transform("__e", lambda e: F.struct(F.try_element_at("projection", e["path"]).alias("k"), e["v"].try_cast("string").alias("v"))), lambda e: e["k"].isNotNull()))
+    x = x.select(*keep, named.alias("__m"))
+    return x.select(*keep, *[F.try_element_at("__m", F.lit(c)).alias(c) for c in columns])

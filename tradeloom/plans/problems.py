@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions.clock import normalise_timestamps
 from tradeloom.functions.text import canonical_symbol
-from tradeloom.operators import changes, compaction, once, slices, tokenizer
+from tradeloom.operators import changes, compaction, drift, once, slices, tokenizer
 
 SMALL_ROWS = 40
 LATE_MS = 600_000
@@ -138,6 +138,27 @@ def p4_once(spark: SparkSession, d: str) -> DataFrame:
     return once.keep_once(messages(spark, d), _MESSAGE, month_bucket(F.col("loaded_at")), [F.col("loaded_at")])
 
 
+# 5 drifting schemas
+
+_TAPE = ["trade_id", "symbol", "price", "quantity", "quote_quantity", "trade_timestamp", "is_buyer_maker", "trade_type", "ingested_at"]
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's edit script against the file before it."""
+    return drift.file_changes(read(spark, d, "trade_event_v1"), "stream", "file_seq", "file_id", "body")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select(F.col("file").alias("file_id"), "old_field", "new_field")
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All records as one table of trades with constant columns."""
+    x = drift.unified(read(spark, d, "trade_event_v1"), "file_id", "body", _TAPE, ["event_seq", "stream", "file_seq"])
+    number = {c: F.col(c).try_cast("double") for c in ("price", "quantity", "quote_quantity")}
+    return x.withColumns(number | {"trade_id": F.col("trade_id").try_cast("long")})
+
+
 # 6 rows that fail to parse
 
 _CSV = ["trade_id", "symbol", "price", "quantity", "quote_quantity", "trade_timestamp", "is_buyer_maker"]
@@ -194,7 +215,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_plan, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
+        p1_found, p1_plan, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
     )
 }
 
