@@ -4,7 +4,7 @@ Candidate boundaries (terminators with closing quotes and attached references, s
 classified by a maximum-entropy model. It is trained on reliable boundaries: the end of a prose line is one, and the
 start of a line shows how sentences begin. The others are unlabelled, so the model learns P(line end | features), which is
 P(boundary | features) times the share of boundaries that fall on a line end; a candidate is a boundary if the
-quotient exceeds a half. Only training is on a bounded sample (``TRAIN_LINES``); every text is split in full.
+quotient exceeds ``CUT``. Only training is on a bounded sample (``TRAIN_LINES``); every text is split in full.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Lines the model is fitted on, and the longest line that is taken for it.
 TRAIN_LINES, TRAIN_CHARS = 16_000, 4_000
+#: Quotients lie near 0 or 1; this is the valley between them.
+CUT = 0.32
 #: A line with one of these first is no prose.
 NOT_PROSE = "=*#:;|!{}<[-"
 
@@ -139,8 +141,8 @@ class Model:
 
     def __init__(self, weights: dict[str, float], share: dict[str, float]) -> None:
         self.w, self.share = weights, share
-        # boundary if sigmoid(score) / share > 1/2
-        self.least = {k: float(np.log(v / 2 / (1 - v / 2))) for k, v in share.items()}
+        # boundary if sigmoid(score) / share > CUT
+        self.least = {k: float(np.log(CUT * v / (1 - CUT * v))) for k, v in share.items()}
 
     def split(self, line: str) -> list[tuple[int, int]]:
         """Sentences of one line: (start, end), without the white space between them."""
