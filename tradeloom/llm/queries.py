@@ -5,22 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeloom.llm import leakage, sentences
+from tradeloom.llm import leakage, packing, sentences
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, documents and the share of space used."""
+    x = p8_containers(spark, d).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return x.agg(F.count(F.lit(1)).alias("n_containers"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("used"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
 
+def p9_reworded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the template of an item, whatever its numbers and names: half of it over long windows."""
+    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", least=0.8, slots="any", words=40, letters=90)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p9_found, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_containers, p8_usage, p9_found, p9_reworded, p10_found)}
 #: None of these can be said in SQL; they are tested against brute force and held-out accuracy.
 SQL: dict[str, str] = {}
