@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 #: White space of any script at either end (the plain trim() knows only the blank).
 EDGE_SPACE = r"(?U)^[\s\p{Cntrl}]+|[\s\p{Cntrl}]+$"
@@ -17,3 +18,14 @@ def strip(c: Column) -> Column:
 def canonical_symbol(c: Column) -> Column:
     """Symbol without surrounding white space, in upper case."""
     return F.upper(strip(c))
+
+
+def eight_decimals(df: DataFrame, name: str) -> Column:
+    """Number column as text with eight decimals: doubles by format, decimals exactly; null stays null."""
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, DecimalType):
+        d = c.cast("decimal(38,8)")
+        cents = F.abs(d * F.lit(100_000_000).cast("decimal(10,0)")).cast("decimal(38,0)").cast("string")
+        digits = F.when(F.length(cents) < 9, F.lpad(cents, 9, "0")).otherwise(cents)
+        return F.concat(F.when(d < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - 8), F.lit("."), F.right(digits, F.lit(8)))
+    return F.when(c.isNotNull(), F.format_string("%.8f", c.cast("double")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.functions.clock import normalise_timestamps
-from tradeloom.functions.text import canonical_symbol
+from tradeloom.functions.text import canonical_symbol, eight_decimals
 from tradeloom.operators import changes, compaction, drift, once, slices, tokenizer
 
 SMALL_ROWS = 40
@@ -96,14 +96,15 @@ def p3_current(spark: SparkSession, d: str) -> DataFrame:
 # 4 repeated messages
 
 
-def content_hash(symbol: Column, trade_id: Column, price: Column, quantity: Column, utc_us: Column, maker: Column) -> Column:
+def content_hash(df: DataFrame, symbol: Column, utc_us: Column) -> Column:
     """The record hash that the content gives; null where a part is unknown."""
     micros, secs = F.pmod(utc_us, F.lit(1_000_000)), F.floor(utc_us / 1_000_000)
     day, of_day = F.date_from_unix_date(F.floor(secs / 86400).cast("int")).cast("string"), F.pmod(secs, F.lit(86400))
     clock = F.format_string("T%02d:%02d:%02d", F.floor(of_day / 3600), F.floor(of_day / 60) % 60, of_day % 60)
     iso = F.when(utc_us.isNotNull(), F.concat(day, clock, F.when(micros == 0, "").otherwise(F.format_string(".%06d", micros)), F.lit("+00:00")))
-    money = lambda c: F.when(c.isNotNull(), F.format_string("%.8f", c))
-    text = F.concat(symbol, F.lit("|"), trade_id.cast("string"), F.lit("|"), money(price), F.lit("|"), money(quantity), F.lit("|"), iso, F.lit("|"), F.when(maker, "True").when(~maker, "False"))
+    maker = F.when(F.col("is_buyer_maker"), "True").when(~F.col("is_buyer_maker"), "False")
+    bar = F.lit("|")
+    text = F.concat(symbol, bar, F.col("trade_id").cast("string"), bar, eight_decimals(df, "price"), bar, eight_decimals(df, "quantity"), bar, iso, bar, maker)
     return F.sha2(text, 256)
 
 
@@ -115,10 +116,9 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     # only the few rows without a hash have their time text read
     bare = normalise_timestamps(raw.where(given.isNull()), read(spark, d, "feed_zones"))
     fact = read(spark, d, "fact_trades")
-    own = lambda us: content_hash(sym, F.col("trade_id"), F.col("price"), F.col("quantity"), us, F.col("is_buyer_maker"))
     pick = lambda df, h, at: df.select(sym.alias("symbol"), "trade_id", h.alias("record_hash"), F.col(at).alias("loaded_at"))
-    hashed = pick(raw.where(given.isNotNull()), given, "ingested_at").unionByName(pick(bare, own(F.col("utc_us")), "ingested_at"))
-    return hashed.unionByName(pick(fact, F.coalesce(given, own(F.unix_micros(F.col("trade_timestamp").cast("timestamp")))), "created_at"))
+    hashed = pick(raw.where(given.isNotNull()), given, "ingested_at").unionByName(pick(bare, content_hash(bare, sym, F.col("utc_us")), "ingested_at"))
+    return hashed.unionByName(pick(fact, F.coalesce(given, content_hash(fact, sym, F.unix_micros(F.col("trade_timestamp").cast("timestamp")))), "created_at"))
 
 
 _MESSAGE = ["symbol", "trade_id", "record_hash"]
