@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines the model is fitted on, and the longest line that is taken for it.
-TRAIN_LINES, TRAIN_CHARS = 16_000, 4_000
+#: Lines the model is fitted on, the longest line that is taken for it, and the documents they are drawn from.
+TRAIN_LINES, TRAIN_CHARS, TRAIN_ROWS = 16_000, 4_000, 8_000
 #: Quotients lie near 0 or 1; this is the valley between them.
 CUT = 0.32
 #: A line with one of these first is no prose.
@@ -233,16 +233,22 @@ def fit(lines: list[tuple[str, str]], epochs: int = 10, rate: float = 0.3, l2: f
     return Model({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}, share)
 
 
-def train(docs: DataFrame, text: str, lines: int = TRAIN_LINES, chars: int = TRAIN_CHARS) -> Model:
-    """Fit on the ``lines`` prose lines with the least hash, each distinct line once; longer ones than ``chars`` stay out of it."""
+def train(docs: DataFrame, text: str, lines: int = TRAIN_LINES, chars: int = TRAIN_CHARS, rows: int = TRAIN_ROWS) -> Model:
+    """Fit on at most ``lines`` distinct prose lines of a random sample of about ``rows`` documents; lines longer than ``chars`` stay out of it.
+
+    The sample's share is its size over the number of rows, so what is gathered doesn't grow with the corpus, and a text that
+    stands a million times is drawn no more often than its share.
+    """
+    n = docs.count()
+    some = docs if n <= rows else docs.sample(rows / n, seed=11)
     prose = F.filter(F.split(F.col(text), "\n"), lambda x: (F.length(F.trim(x)) > 1) & ~F.substring(x, 1, 1).isin(list(NOT_PROSE)))
-    x = docs.select(prose.alias("l")).where(F.size("l") > 0)
+    x = some.select(prose.alias("l")).where(F.size("l") > 0)
     # the line after it, for the last one the first: how another sentence of the document begins
     after = F.concat(F.slice("l", 2, F.size("l")), F.slice("l", 1, 1))
     x = x.select(F.explode(F.arrays_zip(F.col("l").alias("a"), F.transform(after, lambda y: F.substring(y, 1, 200)).alias("b"))).alias("p"))
     x = x.select(F.xxhash64("p.a").alias("h"), F.col("p.a").alias("a"), F.col("p.b").alias("b")).where(F.length("a") <= chars)
-    got = x.orderBy("h", "b").limit(4 * lines).groupBy("h", "a").agg(F.min("b").alias("b")).orderBy("h").limit(lines)
-    return fit([(r["a"], r["b"]) for r in got.select("a", "b").collect()])
+    got = x.groupBy("h").agg(F.min(F.struct("a", "b")).alias("p")).orderBy("h").limit(lines)
+    return fit([(r[0], r[1]) for r in got.select("p.a", "p.b").collect()])
 
 
 def split_sentences(docs: DataFrame, ident: str, text: str, model: Model | None = None) -> DataFrame:
