@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Tokens of a window: words, and single letters of scripts written without spaces.
 WORDS, LETTERS = 6, 18
 #: Share of an item in one passage from which a document contains it.
-SHARE = 0.48
+SHARE = 0.45
 #: Letters of items handled in one pass; more items mean more passes.
 BLOCK_CHARS = 8_000_000
 #: Letters that a passage loses where it goes on at another offset.
