@@ -31,7 +31,9 @@ def corpus():
                 want.add((n, i))
             part[3] = f"[[Target ({part[3]})|{part[3]}]]<ref>Vol. 2. p. 3.</ref>"
             part[7] = f"'''{part[7]}'''&nbsp;"
-            text = f"{text}\n* {' '.join(part).replace('o', 'o­')}\n{passage(r, 30)}"
+            body = " ".join(part).replace("o", "o\xad")
+            shell = ["* {}", "<!-- {} -->", "| {}", "{{{{quote|{}}}}}", "== {} =="][n // 3 % 5].format(body.upper() if n % 2 else body)
+            text = f"{text}\n{shell}\n{passage(r, 30)}"
         docs.append((n, text))
     return docs, items, want
 

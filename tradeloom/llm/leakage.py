@@ -25,12 +25,14 @@ WORDS, LETTERS = 6, 18
 SHARE = 0.45
 #: Letters of items handled in one pass; more items mean more passes.
 BLOCK_CHARS = 8_000_000
+#: References and templates longer than this are read as text; shorter ones interrupt a passage and are cut out.
+LONG = 160
 #: Letters that a passage loses where it goes on at another offset.
 SWITCH = 15
 #: Tokens of documents that are looked up at once.
 TOKENS = 300_000
 _UNITS = {"km", "m", "cm", "mm", "kg", "g", "t", "mi", "ft", "км", "м", "кг", "كم", "कि", "km²"}
-_CUT = re.compile(r"<!--.*?-->|<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|</?[a-zA-Z][^<>]*>|\{\{(?:lang|nowrap|small|em)\|(?:[a-z-]{2,8}\|)?([^{}|]*)\}\}|\{\{[^{}]*\}\}|\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[[0-9]{1,3}\]|\[https?://[^\s\]]+([^\]\n]*)\]|&(?:nbsp|ensp|emsp|thinsp|#160);|&[a-z]+;|'{2,5}", re.S)
+_CUT = re.compile(r"<!--|-->|<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|</?[a-zA-Z][^<>]*>|\{\{(?:lang|nowrap|small|em)\|(?:[a-z-]{2,8}\|)?([^{}|]*)\}\}|\{\{[^{}]*\}\}|\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[[0-9]{1,3}\]|\[https?://[^\s\]]+([^\]\n]*)\]|&(?:nbsp|ensp|emsp|thinsp|#160);|&[a-z]+;|'{2,5}", re.S)
 _GONE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x640, *range(0x64B, 0x653), 0x200E, 0x200F])
 _MARKS = re.compile(r"[<\[{&]|''")
 _ODD = re.compile("[\xad​-‏⁠﻿ـً-ْ]")
@@ -39,8 +41,10 @@ _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+|[ ][0-9]{3}(?![0-9]))*|[^\W\d_぀-ヿ
 
 def _cut(m: re.Match) -> str:
     s = m.group()
-    if s[0] == "&":
+    if s[0] == "&" or s in ("<!--", "-->"):
         return " "
+    if len(s) > LONG and s.startswith(("<ref", "{{")):  # no mere citation: its words are text
+        return " " + _CUT.sub(_cut, s[s.find(">") + 1 : -6] if s[0] == "<" else s[2:-2].replace("|", " ")) + " "
     return m.group(1) or m.group(2) or m.group(3) or ("" if s[0] in "<'" and not s.startswith(("<br", "<p", "<li")) else "" if s[0] == "[" else " " if s[0] == "<" else "")
 
 
