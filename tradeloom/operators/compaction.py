@@ -1,6 +1,6 @@
 """Many small files into few of good size, planned in SQL from a frozen manifest.
 
-1. ``manifest``: one row per (partition, file): rows, bytes, distinct records and an order-free fingerprint of its records.
+1. ``manifest``: one row per (partition, file): rows and bytes, frozen by writing it.
 2. ``redundant_files``: files whose records all lie in one other file (left behind by consolidations that broke off).
 3. ``plan``: the small files are ordered, their bytes summed by windows, and groups assigned by target-sized intervals.
 4. ``rewrite``: the rows of merged files, each distinct record once, in one output file per group; ``reconcile`` compares
@@ -16,83 +16,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.session import written
+
 #: Bytes that a row takes at least in a row-wise estimate: the manifest of a lake that was read without file metadata.
 ROW_BYTES = 64
 
 
 def _prepared(df: DataFrame, partition: dict[str, Column], file: str, record: list[str]) -> DataFrame:
-    """Partition columns, file, and a 128-bit fingerprint of the record (two seeds; null where the first column is null)."""
-    known = F.col(record[0]).isNotNull()
-    part = {f"__p{i}": c for i, c in enumerate(partition.values())}
-    # salting the second hash with a constant makes the pair one of 128 independent bits; 0.0 and -0.0 hash alike
-    h1, h2 = F.xxhash64(*record), F.xxhash64(F.lit("second"), *record)
-    return df.where(F.col(file).isNotNull()).select(
-        *[c.alias(n) for n, c in part.items()], F.col(file).alias("__file"), F.when(known, h1).alias("__h1"), F.when(known, h2).alias("__h2")
-    )
+    """__pid and __fid, hashes of the partition and the file in it, and the record as two more, together 128 bits."""
+    part = list(partition.values())
+    missing = [p.isNull().cast("int") for p in part]  # else a null would hash like nothing at all
+    return df.where(F.col(file).isNotNull() & F.col(record[0]).isNotNull()).select(
+        F.xxhash64(*part, *missing).alias("__pid"), F.xxhash64(F.col(file), *part).alias("__fid"), F.xxhash64(*record, *[F.col(c).isNull() for c in record[1:]]).alias("__h1"), F.xxhash64(F.lit("second"), *record).alias("__h2")
+    )
 
 
 def _keys(partition: dict[str, Column]) -> list[str]:
     return [f"__p{i}" for i in range(len(partition))]
 
 
-def _same(a: str, b: str, names: list[str]) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
-    return cond
-
-
 def manifest(df: DataFrame, partition: dict[str, Column], file: str, record: list[str]) -> DataFrame:
-    """(partition keys, __file, rows, bytes, records, unkeyed, fp1, fp2) per file."""
-    keys = _keys(partition)
-    recs = _records(df, partition, file, record)
-    fp = "decimal(38,0)"
-    return recs.groupBy(*keys, "__file").agg(
-        F.sum("__n").alias("rows"),
-        (F.sum("__n") * ROW_BYTES).alias("bytes"),
-        F.count("__h1").alias("records"),
-        F.sum(F.when(F.col("__h1").isNull(), F.col("__n")).otherwise(0)).alias("unkeyed"),
-        F.sum(F.col("__h1").cast(fp)).alias("fp1"),
-        F.sum(F.col("__h2").cast(fp)).alias("fp2"),
-    )
-
-
-def _records(df: DataFrame, partition: dict[str, Column], file: str, record: list[str]) -> DataFrame:
-    """Each distinct record of each file once, with its number of rows."""
-    return _prepared(df, partition, file, record).groupBy(*_keys(partition), "__file", "__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
-
-
-def redundant_files(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], man: DataFrame | None = None) -> DataFrame:
-    """(partition keys, __file) of files whose records all lie in one other file of the partition; of files with equal
-    records the first by name stays.
-
-    Equal files are found by fingerprint; only the first of each set goes on. A file can lie only in files that hold its
-    rarest record, so those alone are its candidates, and each is verified by counting shared records. No pairs of all
-    files of a partition are made.
+    """The frozen manifest: one row per file with its partition, rows, bytes and rows without a record key. It is written
+    to the shared folder, so that all planning sees the same files."""
+    keys, part = _keys(partition), list(partition.values())
+    x = df.where(F.col(file).isNotNull()).select(*[c.alias(k) for k, c in zip(keys, part, strict=True)], F.col(file).alias("__file"), F.col(record[0]).isNull().cast("long").alias("__none"))
+    g = x.groupBy(*keys, "__file").agg(F.count(F.lit(1)).alias("rows"), F.sum("__none").alias("unkeyed"))
+    named = [F.col(k) for k in keys]
+    pid = F.xxhash64(*named, *[k.isNull().cast("int") for k in named])
+    return written(g.select("*", (F.col("rows") * ROW_BYTES).alias("bytes"), pid.alias("__pid"), F.xxhash64(F.col("__file"), *named).alias("__fid")), "manifest")
+
+
+def redundant_files(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], man: DataFrame) -> DataFrame:
+    """(__pid, __fid) of files whose records all lie in one other file of the partition; of files with equal records the
+    first by name stays.
+
+    A record that one file alone holds makes that file irreplaceable; what is left are records of several files, the only
+    ones whose members are looked up. Equal files are found by fingerprint, and only the first of each set goes on. A file
+    can lie only in files that hold its rarest record: those are its candidates, and each is verified by counting shared
+    records. No pairs of all files of a partition are made.
     """
-    keys = _keys(partition)
-    man = manifest(df, partition, file, record) if man is None else man
-    sets = [*keys, "records", "fp1", "fp2", F.when(F.col("unkeyed") > 0, F.col("__file")).alias("__own")]
-    firsts = man.groupBy(*sets).agg(F.min("__file").alias("__first"), F.count(F.lit(1)).alias("__equal"))
-    twins = man.where("unkeyed = 0 and records > 0").alias("m").join(
-        firsts.where("__equal > 1 and __own is null").alias("f"), _same("m", "f", [*keys, "records", "fp1", "fp2"]) & (F.col("m.__file") != F.col("f.__first")), "left_semi"
-    )
-    lead = firsts.select(*keys, F.col("__first").alias("__file"), "records", F.col("__own").isNull().alias("__whole"))
-    recs = _records(df, partition, file, record).where("__h1 is not null").alias("r")
-    recs = recs.join(lead.alias("l"), _same("r", "l", [*keys, "__file"])).select(*[f"r.{k}" for k in keys], "r.__file", "r.__h1", "r.__h2", "l.records", "l.__whole")
-    often = recs.groupBy(*keys, "__h1", "__h2").agg(F.count(F.lit(1)).alias("__held")).where("__held > 1")
-    # records that one file alone holds make that file irreplaceable; they drop out here with the join
-    shared = recs.alias("a").join(often.alias("o"), _same("a", "o", [*keys, "__h1", "__h2"])).select("a.*", "o.__held")
-    rarest = shared.where("__whole").groupBy(*keys, "__file", "records").agg(
-        F.count(F.lit(1)).alias("__shared"), F.min(F.struct("__held", "__h1", "__h2")).alias("__r")
-    ).where("__shared = records")
-    rarest = rarest.select(*keys, "__file", "records", F.col("__r.__h1").alias("__h1"), F.col("__r.__h2").alias("__h2"))
-    cand = rarest.alias("a").join(shared.alias("b"), _same("a", "b", [*keys, "__h1", "__h2"]) & (F.col("a.__file") != F.col("b.__file")) & (F.col("a.records") < F.col("b.records")))
-    cand = cand.select(*[f"a.{k}" for k in keys], "a.__file", "a.records", F.col("b.__file").alias("__in"))
-    want = cand.alias("c").join(shared.alias("s"), _same("c", "s", [*keys, "__file"])).select(*[f"c.{k}" for k in keys], "c.__file", "c.records", "c.__in", "s.__h1", "s.__h2")
-    met = want.alias("w").join(shared.select(*keys, F.col("__file").alias("__in"), "__h1", "__h2").alias("s"), _same("w", "s", [*keys, "__in", "__h1", "__h2"]), "left_semi")
-    inside = met.groupBy(*keys, "__file", "__in", "records").agg(F.count(F.lit(1)).alias("__met")).where("__met = records")
-    return twins.select(*keys, "__file").union(inside.select(*keys, "__file")).distinct()
+    rec, at = ["__pid", "__h1", "__h2"], ["__pid", "__fid"]
+    rows = _prepared(df, partition, file, record)
+    # min and max combine before the shuffle, so a record that is everywhere is no hot task
+    held = rows.groupBy(*rec).agg(F.min("__fid").alias("__a"), F.max("__fid").alias("__b"))
+    held = written(held.select(*rec, F.col("__a"), (F.col("__a") != F.col("__b")).alias("__many")), "records")
+    alone = held.where("not __many").select("__pid", F.col("__a").alias("__fid")).distinct()
+    members = written(rows.join(held.where("__many").select(*rec), rec, "left_semi").groupBy(*rec, "__fid").agg(F.lit(1).alias("__x")).drop("__x"), "members")
+    fp = "decimal(38,0)"
+    files = members.groupBy(*at).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("__h1").cast(fp)).alias("fp1"), F.sum(F.col("__h2").cast(fp)).alias("fp2"))
+    whole = files.join(man.where("unkeyed = 0").select(*at, "__file"), at).join(alone, at, "left_anti")
+    sets = whole.groupBy("__pid", "records", "fp1", "fp2").agg(F.min(F.struct("__file", "__fid")).alias("__m"))
+    whole = written(whole.join(sets, ["__pid", "records", "fp1", "fp2"]).select(*at, "records", F.col("__m.__fid").alias("__first")), "replaceable")
+    twins = whole.where("__fid <> __first").select(*at)
+    lead = whole.where("__fid = __first").select(*at, "records")
+    often = members.groupBy(*rec).agg(F.count(F.lit(1)).alias("__held"))
+    rarest = members.join(lead, at).join(often, rec).groupBy(*at, "records").agg(F.min(F.struct("__held", "__h1", "__h2")).alias("__r"))
+    rarest = rarest.select(*at, "records", F.col("__r.__h1").alias("__h1"), F.col("__r.__h2").alias("__h2"))
+    # a file that is not replaceable holds more than any that lies in it; of the others it must be a larger one
+    sized = members.join(whole.select(*at, F.col("records").alias("__size")), at, "left").select(*rec, F.col("__fid").alias("__in"), "__size")
+    cand = rarest.join(sized, rec).where("__fid <> __in and (__size is null or __size > records)").select(*at, "records", "__in")
+    want = cand.join(members, at).select(*rec, "__fid", "records", "__in")
+    met = want.join(members.select(*rec, F.col("__fid").alias("__in")), [*rec, "__in"], "left_semi")
+    inside = met.groupBy(*at, "__in", "records").agg(F.count(F.lit(1)).alias("__met")).where("__met = records")
+    return twins.union(inside.select(*at)).distinct()
 
 
 def plan(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], small_rows: int = 40, target_bytes: int = 128 << 20) -> DataFrame:
@@ -106,17 +92,17 @@ def plan(df: DataFrame, partition: dict[str, Column], file: str, record: list[st
     keys = _keys(partition)
     man = manifest(df, partition, file, record)
     gone = redundant_files(df, partition, file, record, man)
-    x = man.alias("m").join(gone.withColumn("__gone", F.lit(True)).alias("g"), _same("m", "g", [*keys, "__file"]), "left").select("m.*", F.coalesce("g.__gone", F.lit(False)).alias("__gone"))
+    x = man.join(gone.withColumn("__gone", F.lit(True)), ["__pid", "__fid"], "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
     x = x.withColumn("__small", F.col("rows") < small_rows).withColumn("__range", F.pmod(F.xxhash64("__file"), F.lit(64)))
-    part = x.groupBy(*keys, "__range").agg(F.sum(F.col("__small").cast("int")).alias("__k"), F.sum(F.when(F.col("__small") & ~F.col("__gone"), F.col("bytes")).otherwise(0)).alias("__b"))
-    w = Window.partitionBy(*keys)
+    part = x.groupBy("__pid", "__range").agg(F.sum(F.col("__small").cast("int")).alias("__k"), F.sum(F.when(F.col("__small") & ~F.col("__gone"), F.col("bytes")).otherwise(0)).alias("__b"))
+    w = Window.partitionBy("__pid")
     part = part.select(
-        *keys, "__range", F.sum("__k").over(w).alias("__smalls"), F.sum("__b").over(w).alias("__total"),
+        "__pid", "__range", F.sum("__k").over(w).alias("__smalls"), F.sum("__b").over(w).alias("__total"),
         (F.sum("__b").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b")).alias("__before"),
     )
-    x = x.alias("x").join(part.alias("p"), _same("x", "p", [*keys, "__range"])).select("x.*", "p.__smalls", "p.__total", "p.__before")
+    x = x.join(part, ["__pid", "__range"])
     merged = F.col("__small") & (F.col("__smalls") >= 2) & ~F.col("__gone")
-    inner = Window.partitionBy(*keys, "__range").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("__pid", "__range").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__before") + F.coalesce(F.sum(F.when(F.col("__small") & ~F.col("__gone"), F.col("bytes")).otherwise(0)).over(inner), F.lit(0))
     groups = F.greatest(F.floor(F.col("__total") / F.lit(target_bytes)), F.lit(1))
     group = F.least(F.floor(start * groups / F.greatest(F.col("__total"), F.lit(1))), groups - 1)
