@@ -31,10 +31,10 @@ _MARKUP = re.compile(
     r"<!--.*?-->|<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|<[^<>]*>|\{\{[^{}]*\}\}|\[\[[^\[\]]*\]\]|\[[0-9a-z ]{1,12}\]|\[?https?://[^\s\]]+(?:[^\]\n]*\])?|'{2,5}|&[a-z]{2,8};|__[A-Z]+__"
 )
 _HAS_MARKUP = re.compile(r"[<\[{&]|''|http|__")
-_DOTS = re.compile(r"[.!?…。！？؟।॥]")
+_DOTS = re.compile(r"[.!?…。！？؟।॥｡．۔։።။។]")
 _CAND = re.compile(
-    r"(?P<a>[.!?…؟]+)(?P<ac>(?:[\"'”’»)\]）」』\x01\x02]|“(?=[\s\x03)\]\x01\x02,.;:]|$)|[   ]»)*)(?=(?P<as>[\s\x03]+)|$)"
-    r"|(?P<b>[。！？।॥｡]+)(?P<bc>(?:[」』”’）》】\x01]|[\"')\x02](?=\s|$))*)(?P<bs>[\s\x03]*)"
+    r"(?P<a>[.!?…؟۔։።]+)(?P<ac>(?:[\"'”’»)\]）」』\x01\x02]|“(?=[\s\x03)\]\x01\x02,.;:]|$)|[   ]»)*)(?=(?P<as>[\s\x03]+)|$)"
+    r"|(?P<b>[。！？।॥｡．။។]+)(?P<bc>(?:[」』”’）》】\x01]|[\"')\x02](?=\s|$))*)(?P<bs>[\s\x03]*)"
     r"|(?P<t>(?<=[ก-๎])[\x01\x02]*)(?P<ts>[  ]+)(?=\x02*[ก-๎])"
 )
 _OPEN, _SHUT = "“„«「『\"", "”“»」』\""
@@ -115,8 +115,11 @@ def _candidates(m: str) -> Iterator[tuple[int, int, int, str, str]]:
             e = x.end("ac")
             yield x.start("a"), e, e + len(x.group("as") or ""), x.group("a"), x.group("ac")
         elif x.group("b") is not None:
-            e = x.end("bc")
-            yield x.start("b"), e, x.end("bs"), x.group("b"), x.group("bc")
+            e, nxt, shut = x.end("bc"), x.end("bs"), x.group("bc")
+            if m[e : e + 1] == '"' and m.count('"', 0, x.start("b")) % 2:  # a straight mark that closes
+                e, shut = e + 1, shut + '"'
+                nxt = e + len(m[e:]) - len(m[e:].lstrip())
+            yield x.start("b"), e, nxt, x.group("b"), shut
         elif k:
             yield x.start("t"), x.end("t"), x.end("ts"), " ", ""
 
@@ -128,6 +131,14 @@ def _starts_small(m: str, at: int) -> bool:
     return at < len(m) and m[at].islower()
 
 
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_FIRST = re.compile(r"[^\W\d_]")
+
+
+def _capital(s: str) -> str:
+    return _FIRST.sub(lambda x: x.group().upper() if len(x.group().upper()) == 1 else x.group(), s, count=1)
+
+
 def prose_lines(text: str) -> Iterator[tuple[int, str]]:
     at = 0
     for line in text.split("\n"):
@@ -144,11 +155,16 @@ class Model:
         # boundary if sigmoid(score) / share > CUT
         self.least = {k: float(np.log(CUT * v / (1 - CUT * v))) for k, v in share.items()}
 
+    def boundary(self, fs: list[str]) -> bool:
+        w = self.w
+        return sum([w.get(f, 0.0) for f in fs]) > self.least.get(fs[-1][1], self.least["*"])
+
     def split(self, line: str) -> list[tuple[int, int]]:
         """Sentences of one line: (start, end), without the white space between them."""
         m = masked(line)
-        out, begun, w = [], 0, self.w
-        n = len(m)
+        out, begun, n = [], 0, len(m)
+        # all capitals say nothing of case: a boundary must hold for small and for capitalised words
+        views = [_WORD.sub(lambda x: x.group().lower(), m), _WORD.sub(lambda x: x.group()[0] + x.group()[1:].lower(), m)] if m.isupper() and n > 20 and len(m.lower()) == n else [m]
         for at, end, nxt, term, closers in _candidates(m):
             if nxt >= n:
                 break
@@ -157,9 +173,7 @@ class Model:
             elif _starts_small(m, nxt):
                 ok = False
             else:
-                fs = features(m, at, term, closers, m[nxt : nxt + 24], begun)
-                least = self.least.get(fs[-1][1], self.least["*"])
-                ok = sum([w.get(f, 0.0) for f in fs]) > least
+                ok = all(self.boundary(features(v, at, term, closers, v[nxt : nxt + 24] if v is m else _capital(v[nxt : nxt + 24]), begun)) for v in views)
             if ok:
                 # a written-out space is no white space of the text: it stays with the sentence before it
                 while end < nxt and line[end:nxt].strip():
