@@ -14,7 +14,8 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from tradeloom.session import get_spark
 
-    s = get_spark("local[4]", shuffle_partitions=4, memory="3g")
+    # tiny inputs: compiling their plans would take most of the time; test_entry runs the compiled ones
+    s = get_spark("local[4]", shuffle_partitions=2, memory="3g", **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.coalescePartitions.enabled": "true"})
     yield s
     s.stop()
 
