@@ -264,23 +264,37 @@ def file_changes(df: DataFrame, stream: str, seq: str, file: str, body: str, dep
     return pair.mapInArrow(diff, f"stream {t['stream']}, seq {t['seq']}, file {t['file']}, operation string, old_field string, new_field string")
 
 
-def projections(df: DataFrame, file: str, body: str, columns: list[str], depth: int = DEPTH) -> DataFrame:
+def projections(df: DataFrame, file: str, body: str, columns: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None) -> DataFrame:
     """(file, projection map<path, column>): which field of a file fills which of ``columns``.
 
     A field that bears a column's name fills it; the other fields go to the columns left, by least content distance to
-    what the fields of that name hold over all files. Each file is settled by itself. What is read to the driver is one
-    profile per column.
+    what the fields of that name hold over all files. The distance is the mean of two: of the field in this file, and of
+    all fields of its name, so that a small file doesn't mislead. With stream and seq the edit scripts are compiled in: a
+    name that scripts have turned into or out of a column goes to the column for which they did so most often. Each file
+    is settled by itself. What is read to the driver is one profile per column.
     """
     src = df.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(body).alias("body"))
-    pooled = {r["path"]: r.asDict(recursive=True) for r in profiles(src, [], "body", depth).where(F.col("path").isin(columns)).collect()}
-    p = profiles(src, ["file"], "body", depth)
-    per = p.groupBy("file").agg(F.collect_list(F.struct(*[c for c in p.columns if c != "file"])).alias("fields"))
+    named = profiles(src, [], "body", depth)
+    pooled = {r["path"]: r.asDict(recursive=True) for r in named.where(F.col("path").isin(columns)).collect()}
+    names = [c for c in named.columns]
+    p = profiles(src, ["file"], "body", depth).join(named.select("path", F.struct(*names).alias("pool")), "path")
+    if stream and seq:
+        moved = file_changes(df, stream, seq, file, body, depth).where(F.col("operation").isin("rename", "move"))
+        both = moved.select("old_field", "new_field").union(moved.select("new_field", "old_field")).toDF("path", "__c").where(F.col("__c").isin(columns))
+        votes = both.groupBy("path", "__c").agg(F.count(F.lit(1)).alias("__n")).groupBy("path").agg(F.max(F.struct("__n", "__c")).alias("__v")).select("path", F.col("__v.__c").alias("vote"))
+        p = p.join(votes, "path", "left")
+    else:
+        p = p.withColumn("vote", F.lit(None).cast("string"))
+    per = p.groupBy("file").agg(F.collect_list(F.struct(*names, "pool", "vote")).alias("fields"))
+
+    doubt = 2 if stream and seq else 1  # where scripts speak, content alone must be twice as close
 
     def settle(fields: list[dict[str, Any]]) -> list[tuple[str, str]]:
         have = {f["path"] for f in fields}
         out = [(c, c) for c in columns if c in have]
         rest, want = [f for f in fields if f["path"] not in columns], [c for c in columns if c not in have and c in pooled]
-        got = assign([[distance(f, pooled[c]) for c in want] for f in rest], SPLIT_COST / 2, SPLIT_COST / 2)
+        cost = lambda f, c: (0.0 if f["vote"] == c else 1.0) if f["vote"] else (distance(f, pooled[c]) + distance(f["pool"], pooled[c])) * doubt / 2
+        got = assign([[cost(f, c) for c in want] for f in rest], SPLIT_COST / 2, SPLIT_COST / 2)
         return out + [(rest[i]["path"], want[j]) for i, j in enumerate(got) if j >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +305,7 @@ def projections(df: DataFrame, file: str, body: str, columns: list[str], depth:
     return per.mapInArrow(run, f"file {src.schema['file'].dataType.simpleString()}, projection map<string,string>")
 
 
-def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH) -> DataFrame:
+def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None) -> DataFrame:
     """``keep`` and one text column per name of ``columns``, whatever the record's file calls it; absent is null.
 
     Records that repeat stay; a body that is no JSON object gives nulls. Names in ``keep`` may not clash with ``columns``.
@@ -300,7 +314,7 @@ def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[
         raise ValueError(f"columns named twice: {sorted(set(keep) & set(columns))}")
     v = F.try_parse_json(F.col(body))
     x = df.select(*keep, F.col(file).alias("__f"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("__v"))
-    x = x.join(projections(df, file, body, columns, depth).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left")
+    x = x.join(projections(df, file, body, columns, depth, stream, seq).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left")
     x = x.select(*keep, "projection", _entries(F.col("__v"), depth).alias("__e"))
     named = F.map_from_entries(F.filter(F.transform("__e", lambda e: F.struct(F.try_element_at("projection", e["path"]).alias("k"), e["v"].try_cast("string").alias("v"))), lambda e: e["k"].isNotNull()))
     x = x.select(*keep, named.alias("__m"))
