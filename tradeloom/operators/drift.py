@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A rename costs its content distance (0 to 1); adding and deleting a field cost half of this each.
-SPLIT_COST = 0.48
+SPLIT_COST = 0.4
 #: Levels of nested objects that become inner nodes; deeper objects are leaves of type object.
 DEPTH = 4
 _QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -52,7 +52,7 @@ def profiles(df: DataFrame, file: list[str], body: str, depth: int = DEPTH) -> D
     iso = F.when(t.rlike(_ISO), F.unix_millis(F.try_to_timestamp(t)).cast("double"))
     num = F.coalesce(F.when(F.col("type").isin("number", "string"), t.try_cast("double")), F.when(F.col("type") == "string", iso), F.when(F.col("type") == "boolean", F.when(t == "true", 1.0).otherwise(0.0)))
     x = x.withColumn("num", F.when(F.abs(num) < 1e300, num)).withColumn("h", F.when(F.col("type") != "null", F.xxhash64(F.coalesce(F.col("num").cast("string"), t))))
-    log = F.signum("num") * F.log10(1e-9 + F.abs("num"))
+    log = F.signum("num") * F.log10(1 + 1e4 * F.abs("num"))  # 0 and 1 lie apart, and so do small amounts
     some = F.col("type") != "null"
     bit = lambda lo: F.bit_or(F.when(some & (F.pmod(F.shiftright("h", 6), F.lit(2)) == lo), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))))
     return x.groupBy(*file, "path").agg(
