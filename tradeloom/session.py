@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(known)
         return known
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tradeloom-shared"))
     return sc.getCheckpointDir()
