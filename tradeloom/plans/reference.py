@@ -78,19 +78,20 @@ def fct_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _daily_sql(q: int, qq: int) -> str:
-    return f"""with {_INT} select symbol, cast(trade_timestamp as date) as trade_date, count(*) as trade_count, {_r(_BASE, q)} as base_volume, {_r(f"cast(sum({_D('quote_quantity')}) as double)", qq)} as quote_volume,
+    return f"""with {_INT} select symbol, cast(cast(trade_timestamp as date) as varchar) as trade_date, count(*) as trade_count, {_r(_BASE, q)} as base_volume, {_r(f"cast(sum({_D('quote_quantity')}) as double)", qq)} as quote_volume,
 min(price) as low_price, max(price) as high_price, {_r(f"{_NOTIONAL} / nullif({_BASE}, 0)", 4)} as vwap, count(*) filter (is_buyer_maker) as maker_count, count(*) filter (not is_buyer_maker) as taker_count,
 {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from dd group by all"""
 
 
 @query(_daily_sql(6, 2))
 def agg_daily_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return marts.daily_metrics(_dedup(spark, d)).orderBy(F.desc("trade_date"), F.desc("quote_volume"))
+    x = marts.daily_metrics(_dedup(spark, d)).orderBy(F.desc("trade_date"), F.desc("quote_volume"))
+    return x.withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
 @query(_daily_sql(4, 2).replace("select symbol, cast", "select * exclude (maker_count, taker_count) from (select symbol, cast", 1) + ")")
 def semantic_daily(spark: SparkSession, d: str) -> DataFrame:
-    return marts.daily_metrics(_dedup(spark, d), quantity_digits=4).drop("maker_count", "taker_count")
+    return marts.daily_metrics(_dedup(spark, d), quantity_digits=4).drop("maker_count", "taker_count").withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
 @query(f"with {_DIM} select dd.symbol, count(*) as n_orphans from dd left join dim on dd.symbol = dim.symbol and quote_asset <> 'UNKNOWN' and base_asset <> '' where dim.symbol is null group by all")
@@ -438,10 +439,10 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with t as (select l_orderkey * 10 + l_linenumber as trade_id, l_returnflag || l_linestatus as symbol, l_extendedprice as price, l_quantity as quantity, l_shipdate from lineitem)
-select symbol, cast(l_shipdate as date) as trade_date, count(*) as n, floor(cast(sum(cast(price as decimal(18,4)) * cast(quantity as decimal(18,4))) as double) / cast(sum(cast(quantity as decimal(18,4))) as double) * 10000.0::double + 0.5) / 10000.0::double as vwap from t group by all""")
+select symbol, cast(cast(l_shipdate as date) as varchar) as trade_date, count(*) as n, floor(cast(sum(cast(price as decimal(18,4)) * cast(quantity as decimal(18,4))) as double) / cast(sum(cast(quantity as decimal(18,4))) as double) * 10000.0::double + 0.5) / 10000.0::double as vwap from t group by all""")
 def lineitem_daily_vwap(spark: SparkSession, d: str) -> DataFrame:
     """Daily vwap over the largest driver table."""
-    x = read(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.to_date("l_shipdate").alias("trade_date"))
+    x = read(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.to_date("l_shipdate").cast("string").alias("trade_date"))
     p, q = marts.exact("price"), marts.exact("quantity")
     return x.groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("n"), rounded(F.try_divide(F.sum(p * q).cast("double"), F.sum(q).cast("double")), 4).alias("vwap"))
 
