@@ -64,6 +64,24 @@ def test_unified(spark):
         drift.unified(df, "file", "body", ["seq"], ["seq"])
 
 
+def test_unified_loses_no_leaf(spark):
+    r = random.Random(6)
+    one = trades(r, 40)
+    two = [{**t, "note": r.choice(["thin", "deep"]), "fee": {"asset": "BNB", "amount": i}, "tags": [i]} for i, t in enumerate(trades(r, 40, symbol="sym"))]
+    odd = [{**t, "note": None, "fee.asset": "dotted", "fee": {"asset": "nested"}} for t in trades(r, 10)]
+    df = table(spark, {("s", 1): one, ("s", 2): two, ("s", 3): odd})
+    got = drift.unified(df, "file", "body", ["trade_id", "symbol", "price", "ts", "maker"], ["seq"], stream="stream", seq="seq", rest="others").collect()
+    flat = lambda o: [x for v in o.values() for x in (flat(v) if isinstance(v, dict) else [] if v is None else [v])]
+    text = lambda v: v if isinstance(v, str) else json.dumps(v)
+    want = sorted((q, text(v)) for q, files in ((1, one), (2, two), (3, odd)) for t in files for v in flat(t))
+    held = [(x["seq"], v) for x in got for v in [x["trade_id"], x["symbol"], x["price"], x["ts"], x["maker"], *x["others"].values()] if v is not None]
+    same = lambda v: float(v) if v.replace(".", "").isdigit() else v
+    assert sorted(((q, same(v)) for q, v in held), key=repr) == sorted(((q, same(v)) for q, v in want), key=repr)
+    assert {(x["seq"], *sorted(x["others"])) for x in got} == {(1,), (2, "fee.amount", "fee.asset", "note", "tags"), (3, "fee.asset", "fee.asset#7")}
+    with pytest.raises(ValueError):
+        drift.unified(df, "file", "body", ["symbol"], ["seq"], rest="seq")
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_assignment_is_optimal(seed):
     from itertools import permutations

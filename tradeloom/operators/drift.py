@@ -305,17 +305,27 @@ def projections(df: DataFrame, file: str, body: str, columns: list[str], depth:
     return per.mapInArrow(run, f"file {src.schema['file'].dataType.simpleString()}, projection map<string,string>")
 
 
-def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None) -> DataFrame:
+def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None, rest: str | None = None) -> DataFrame:
     """``keep`` and one text column per name of ``columns``, whatever the record's file calls it; absent is null.
 
-    Records that repeat stay; a body that is no JSON object gives nulls. Names in ``keep`` may not clash with ``columns``.
+    With ``rest`` a last column of that name, map<string,string>, holds by path every value that is not null and fills no
+    column: fields that files added, names that nothing ties to a column, and all fields of records without a file. A path
+    that occurs again in a record (a dot in a name) has #place behind it. Records that repeat stay; a body that is no JSON
+    object gives nulls. Names in ``keep`` may not clash with ``columns`` or ``rest``.
     """
-    if set(keep) & set(columns):
-        raise ValueError(f"columns named twice: {sorted(set(keep) & set(columns))}")
+    if twice := set(keep) & {*columns, rest} or {rest} & set(columns):
+        raise ValueError(f"columns named twice: {sorted(twice)}")
     v = F.try_parse_json(F.col(body))
     x = df.select(*keep, F.col(file).alias("__f"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("__v"))
     x = x.join(projections(df, file, body, columns, depth, stream, seq).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left")
-    x = x.select(*keep, "projection", _entries(F.col("__v"), depth).alias("__e"))
-    named = F.map_from_entries(F.filter(F.transform("__e", lambda e: F.struct(F.try_element_at("projection", e["path"]).alias("k"), e["v"].try_cast("string").alias("v"))), lambda e: e["k"].isNotNull()))
-    x = x.select(*keep, named.alias("__m"))
-    return x.select(*keep, *[F.try_element_at("__m", F.lit(c)).alias(c) for c in columns])
+    x = x.select(*keep, "projection", F.transform(_entries(F.col("__v"), depth), lambda e: F.struct(e["path"].alias("path"), e["v"].try_cast("string").alias("v"))).alias("__e"))
+
+    def placed(e: Column, i: Column) -> Column:
+        again = F.exists(F.slice("__e", F.lit(1), i), lambda o: o["path"] == e["path"])
+        return F.struct(F.when(~again, F.try_element_at("projection", e["path"])).alias("k"), F.when(again, F.concat(e["path"], F.lit("#"), i.cast("string"))).otherwise(e["path"]).alias("path"), e["v"].alias("v"))
+
+    x = x.select(*keep, F.transform("__e", placed).alias("__e"))
+    mapped = lambda key, which: F.map_from_entries(F.transform(F.filter("__e", which), lambda e: F.struct(e[key].alias("k"), e["v"].alias("v"))))
+    other = [mapped("path", lambda e: e["k"].isNull() & e["v"].isNotNull()).alias(rest)] if rest else []
+    x = x.select(*keep, mapped("k", lambda e: e["k"].isNotNull()).alias("__m"), *other)
+    return x.select(*keep, *[F.try_element_at("__m", F.lit(c)).alias(c) for c in columns], *([rest] if rest else []))

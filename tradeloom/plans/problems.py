@@ -153,8 +153,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All records as one table of trades with constant columns."""
-    x = drift.unified(read(spark, d, "trade_event_v1"), "file_id", "body", _TAPE, ["event_seq", "stream", "file_seq"], stream="stream", seq="file_seq")
+    """All records as one table of trades with constant columns; fields that files add beside them are in ``others``."""
+    x = drift.unified(read(spark, d, "trade_event_v1"), "file_id", "body", _TAPE, ["event_seq", "stream", "file_seq"], stream="stream", seq="file_seq", rest="others")
     number = {c: F.col(c).try_cast("double") for c in ("price", "quantity", "quote_quantity")}
     return x.withColumns(number | {"trade_id": F.col("trade_id").try_cast("long")})
 
