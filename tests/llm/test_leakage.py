@@ -66,6 +66,36 @@ def test_other_names_and_numbers(spark):
     assert [tuple(r)[:2] for r in leakage.leaked(d, "doc_id", "text", q, "item_id", "text", least=0.8, slots="any", words=20, letters=60).collect()] == [(1, 7)]
 
 
+def shares(item, doc, slots, least=leakage.SHARE):
+    import numpy as np
+
+    q = leakage.Items([(7, item)], slots=slots)
+    c = leakage.Canon(q.common)
+    n = np.concatenate([np.zeros(0, dtype=np.int32), *c.text(doc)])
+    return q.found(c.codes()[n], np.array([0]), least)
+
+
+LONG_ITEM = "the old mill of Bolan was sold by its last owner for 1820 marks and the wide tower near Karad was then rebuilt by the council which had kept the market hall of Lomis since the great flood of the river"
+
+
+def test_half_of_a_reworded_item():
+    new = LONG_ITEM.replace("Bolan", "Gimur").replace("1820", "1777").replace("Karad", "Sotek").replace("Lomis", "Redal")
+    words = new.split()
+    half = words[: len(words) * 6 // 10]
+    half[len(half) // 2] = "quite"  # no long run is left
+    text = "Some other words stand here first. " + " ".join(half) + " and more that has nothing to do with it at all."
+    assert [x[1] for x in shares(LONG_ITEM, text, "any")] == [7]
+    assert shares(LONG_ITEM, text, "any")[0][2] < 0.8
+    assert shares(LONG_ITEM, " ".join(words[: len(words) * 3 // 10]), "any") == []
+
+
+def test_slots_map_one_to_one():
+    item = "the mill of Bolanograd and the tower of Bolanograd and the hall of Bolanograd and the wall of Bolanograd and the lamp of Bolanograd and the road of Bolanograd"
+    assert shares(item, item.replace("Bolanograd", "Gimuropolis"), "any")
+    names = iter(["Gimuropolis", "Sotekoville", "Redalburgen", "Pidolostadt", "Tavormunden", "Lomisbridge"])
+    assert not shares(item, " ".join(next(names) if w == "Bolanograd" else w for w in item.split()), "any")
+
+
 def test_letters_and_digits():
     same = lambda a, b: leakage._TOKEN.findall(leakage.plain(a)) == leakage._TOKEN.findall(leakage.plain(b))
     assert same("谁在1870'''年测'''量了堤坝？", "谁在1870年测量了 堤坝")

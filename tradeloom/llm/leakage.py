@@ -3,8 +3,10 @@
 Text is reduced to tokens free of markup, layout and typography. Each token has a template (its word, or a typed
 placeholder for numbers, names and units) and a value. Windows of templates of the items are hashed and looked up in
 one pass over the documents; a window counts where the slots hold the same values (``slots="agree"``) or whatever they hold
-(``slots="any"``: re-parameterised items, with longer windows). Windows that meet place the item against the document; the
-tokens are then compared one by one along that place, and the share of the item in its best passage decides.
+(``slots="any"``: re-parameterised items). Windows that meet place the item against the document; the
+tokens are then compared one by one along that place, and the share of the item in its best passage decides. With
+``slots="agree"`` windows are looked up with the values of their slots, so they are plain runs of words; with ``slots="any"``
+by template alone unless most of the window is slots, and slots count where their values map one to one along the place.
 """
 
 from __future__ import annotations
@@ -168,8 +170,15 @@ class Items:
             self.tables.append((h[order], who[order], at[order], maybe))
 
     def keys(self, c: np.ndarray) -> list[np.ndarray]:
-        code = c[:, 0] if self.slots == "any" else c[:, 0] + c[:, 1] * np.uint64(0x94D049BB133111EB)
-        return _rolled(code, self.widths)
+        exact = c[:, 0] + c[:, 1] * np.uint64(0x94D049BB133111EB)
+        if self.slots == "agree":
+            return _rolled(exact, self.widths)
+        # windows of which more than half are slots say little without their values and are looked up with them
+        words = np.r_[0, np.cumsum(c[:, 0] == c[:, 1])]
+        out = []
+        for w, t, e in zip(self.widths, _rolled(c[:, 0], self.widths), _rolled(exact, self.widths), strict=True):
+            out.append(np.where(2 * (words[w:] - words[:-w])[: len(t)] >= w, t, e) if len(t) else t)
+        return out
 
     def meets(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in c, item, place in the item) of every window that meets one of an item."""
@@ -186,16 +195,66 @@ class Items:
             out.append((np.repeat(hit, n), who[idx], at[idx]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def share(self, c: np.ndarray, k: int, offsets: np.ndarray) -> float:
-        """Share of item k (in letters) in its best passage in c, laid at offsets that lie close together."""
+    def _consistent(self, c: np.ndarray, k: int, offsets: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """``same`` without the slots whose values don't map one to one between item k and c, the most frequent pairs first."""
+        item = self.tokens[k]
+        slots = same & (item[:, 0] != item[:, 1])[:, None]
+        beside = np.zeros_like(same)
+        beside[1:] |= same[:-1]
+        beside[:-1] |= same[1:]
+        i, j = np.nonzero(slots)
+        if not len(i):
+            return same
+        pairs = np.stack([item[i, 1], c[i + offsets[j], 1]], axis=1)
+        kinds, which = np.unique(pairs, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        n = np.bincount(which, weights=beside[i, j], minlength=len(kinds))
+        a_to, b_to, good = set(), set(), np.zeros(len(kinds), dtype=bool)
+        for x in np.lexsort((kinds[:, 0] != kinds[:, 1], -n)).tolist():
+            p, q = kinds[x].tolist()
+            if p not in a_to and q not in b_to:
+                a_to.add(p)
+                b_to.add(q)
+                good[x] = True
+        same = same & ~slots
+        same[i[good[which]], j[good[which]]] = True
+        return same
+
+    @staticmethod
+    def _longest(same: np.ndarray, weight: np.ndarray) -> int:
+        """Letters of the longest run with a score above 0 if going on at another offset were free: no passage is longer."""
+        score, letters = np.zeros((2, len(weight) + 1), dtype=np.int64)
+        np.cumsum(np.where(same.any(axis=1), weight, -2 * weight), out=score[1:])
+        np.cumsum(weight, out=letters[1:])
+        first = np.searchsorted(-np.minimum.accumulate(score), -score, side="right")  # the first place with a lower score
+        return int((letters - letters[np.minimum(first, np.arange(len(score)))]).max())
+
+    def _worth(self, c: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each passage (n-th item laid at a place of c) its equal letters, at most."""
+        code, out = np.ascontiguousarray(c[:, 0 if self.slots == "any" else 1]), np.zeros(len(who), dtype=np.int64)
+        order = np.argsort(who, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(who[order])) + 1):
+            item, weight = self.tokens[who[own[0]]], self.weights[who[own[0]]]
+            col, steps = item[:, 0 if self.slots == "any" else 1], np.arange(len(item))
+            for lo in range(0, len(own), 1 + 2_000_000 // len(item)):
+                some = own[lo : lo + 1 + 2_000_000 // len(item)]
+                at = np.clip(place[some][:, None] + steps, 0, len(code) - 1)
+                out[some] = (code[at] == col) @ weight
+        return out
+
+    def share(self, c: np.ndarray, k: int, offsets: np.ndarray, least: float = 0.0) -> float:
+        """Share of item k (in letters) in its best passage in c, laid at offsets that lie close together; 0 if below ``least`` for certain."""
         item, weight = self.tokens[k], self.weights[k]
         n = len(item)
         col = 0 if self.slots == "any" else 1
-        same = np.zeros((n, len(offsets)), dtype=bool)
-        for j, o in enumerate(offsets.tolist()):
-            lo, hi = max(0, -o), min(n, len(c) - o)
-            if lo < hi:
-                same[lo:hi, j] = item[lo:hi, col] == c[lo + o : hi + o, col]
+        at = np.arange(n)[:, None] + offsets
+        same = (c[:, col][np.minimum(np.maximum(at, 0), len(c) - 1)] == item[:, col, None]) & (at >= 0) & (at < len(c))
+        if self._longest(same, weight) < least * weight.sum():
+            return 0.0
+        if self.slots == "any":
+            same = self._consistent(c, k, offsets, same)
+            if self._longest(same, weight) < least * weight.sum():
+                return 0.0
         score, got = np.zeros(len(offsets), dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
         best = top = 0
         # a replaced word costs twice its letters; going on at another offset (a word more or less) costs SWITCH
@@ -219,32 +278,27 @@ class Items:
             return []
         doc = np.searchsorted(starts, place, side="right") - 1
         pair = doc * len(self.ids) + who
-        order = np.lexsort((at, pair))
-        pair, place, at = pair[order], place[order], at[order]
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        fresh = np.r_[True, (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])]
-        covered = np.add.reduceat(fresh, first)
-        sizes = np.array([len(t) for t in self.tokens])[pair[first] % len(self.ids)]
-        # a passage of the least size with a few words replaced has windows on a good part of it
-        good = (covered + self.widths[0] >= 0.5 * least * sizes) | (covered + self.widths[1] >= sizes)
+        off = place - starts[doc] - at
+        order = np.lexsort((off, pair))
+        pair, off = pair[order], off[order]
+        fresh = np.r_[True, (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])]
+        pair, off = pair[fresh], off[fresh]
+        # passages: windows of a pair whose offsets lie close together; a single window is enough to compare the tokens
+        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (np.diff(off) > 8)])
         ends = np.r_[first[1:], len(pair)]
-        out = []
-        for lo, hi in zip(first[good], ends[good], strict=True):
-            d, k = divmod(int(pair[lo]), len(self.ids))
-            end = int(starts[d + 1]) if d + 1 < len(starts) else len(c)
-            own = c[int(starts[d]) : end]
-            off, where = place[lo:hi] - int(starts[d]) - at[lo:hi], at[lo:hi]
-            turn = np.argsort(off, kind="stable")
-            off, where = off[turn], where[turn]
-            cuts = np.flatnonzero(np.diff(off) > 8) + 1
-            best = 0.0
-            for o, w in zip(np.split(off, cuts), np.split(where, cuts), strict=True):
-                met, size = len(np.unique(w)), len(self.tokens[k])
-                if met + self.widths[0] >= 0.5 * least * size or met + self.widths[1] >= size:
-                    best = max(best, self.share(own, k, np.unique(o)))
-            if best >= least:
-                out.append((d, self.ids[k], best))
-        return out
+        # a passage with a score above 0 has at most half as many replaced letters as equal ones
+        equal = np.add.reduceat(self._worth(c, pair % len(self.ids), starts[pair // len(self.ids)] + off), first)
+        total = np.array([w.sum() for w in self.weights])[pair[first] % len(self.ids)]
+        good = 1.5 * equal >= least * total
+        best: dict[int, float] = {}
+        for lo, hi in zip(first[good].tolist(), ends[good].tolist(), strict=True):
+            p = int(pair[lo])
+            d, k = divmod(p, len(self.ids))
+            own = c[int(starts[d]) : int(starts[d + 1]) if d + 1 < len(starts) else len(c)]
+            got = self.share(own, k, off[lo:hi], least)
+            if got >= least and got > best.get(p, -1.0):
+                best[p] = got
+        return [(p // len(self.ids), self.ids[p % len(self.ids)], x) for p, x in best.items()]
 
 
 def leaked(docs: DataFrame, ident: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = SHARE, slots: str = "agree", words: int = WORDS, letters: int = LETTERS) -> DataFrame:

@@ -29,8 +29,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_reworded(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the template of an item, whatever its numbers and names: half of it over long windows."""
-    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", least=0.8, slots="any", words=40, letters=90)
+    """Documents with the template of an item, whatever its numbers and names as long as they map one to one: half of it, as in p9_found."""
+    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", slots="any")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
