@@ -89,6 +89,14 @@ def test_half_of_a_reworded_item():
     assert shares(LONG_ITEM, " ".join(words[: len(words) * 3 // 10]), "any") == []
 
 
+def test_replaced_letters_leave_few_windows():
+    item = "".join(chr(0x4E00 + 37 * i) for i in range(121))
+    half = list(item[20:80])
+    half[18:20] = half[38:40] = "鿰鿱"
+    assert [x[1] for x in shares(item, "".join(half), "agree")] == [7]
+    assert shares(item, item[20:55], "agree") == []
+
+
 def test_slots_map_one_to_one():
     item = "the mill of Bolanograd and the tower of Bolanograd and the hall of Bolanograd and the wall of Bolanograd and the lamp of Bolanograd and the road of Bolanograd"
     assert shares(item, item.replace("Bolanograd", "Gimuropolis"), "any")

@@ -229,6 +229,16 @@ class Items:
         first = np.searchsorted(-np.minimum.accumulate(score), -score, side="right")  # the first place with a lower score
         return int((letters - letters[np.minimum(first, np.arange(len(score)))]).max())
 
+    def _enough(self, pair: np.ndarray, off: np.ndarray, at: np.ndarray, least: float) -> np.ndarray:
+        """Which hits lie in passages with the windows that two replaced words leave, in the worst places, of the least passage."""
+        group = np.cumsum(np.r_[True, (pair[1:] != pair[:-1]) | (np.diff(off) > 8)]) - 1
+        n = np.array([len(t) for t in self.tokens])
+        letters = np.array([w.sum() for w in self.weights]) < 3 * n
+        left = least * n - np.where(letters, 4 + 3 * (self.widths[1] - 1), 2 + 3 * (self.widths[0] - 1))
+        need = np.maximum(1, np.minimum(np.minimum(left, 0.5 * least * n - self.widths[0]), n - self.widths[1]))
+        met = np.bincount(np.unique(group * (int(n.max()) + 1) + at) // (int(n.max()) + 1), minlength=group[-1] + 1)
+        return met[group] >= need[pair % len(self.ids)]
+
     def _worth(self, c: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
         """For each passage (n-th item laid at a place of c) its equal letters, at most."""
         code, out = np.ascontiguousarray(c[:, 0 if self.slots == "any" else 1]), np.zeros(len(who), dtype=np.int64)
@@ -280,10 +290,15 @@ class Items:
         pair = doc * len(self.ids) + who
         off = place - starts[doc] - at
         order = np.lexsort((off, pair))
-        pair, off = pair[order], off[order]
+        pair, off, at = pair[order], off[order], at[order]
+        if self.slots == "agree":
+            enough = self._enough(pair, off, at, least)
+            pair, off = pair[enough], off[enough]
+            if not len(pair):
+                return []
         fresh = np.r_[True, (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])]
         pair, off = pair[fresh], off[fresh]
-        # passages: windows of a pair whose offsets lie close together; a single window is enough to compare the tokens
+        # passages: windows of a pair whose offsets lie close together; with any slots one window is enough to compare
         first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (np.diff(off) > 8)])
         ends = np.r_[first[1:], len(pair)]
         # a passage with a score above 0 has at most half as many replaced letters as equal ones
