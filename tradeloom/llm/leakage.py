@@ -1,12 +1,15 @@
 """Evaluation texts inside a corpus, by template canonicalisation.
 
-Text is reduced to tokens free of markup, layout and typography. Each token has a template (its word, or a typed
-placeholder for numbers, names and units) and a value. Windows of templates of the items are hashed and looked up in
-one pass over the documents; a window counts where the slots hold the same values (``slots="agree"``) or whatever they hold
-(``slots="any"``: re-parameterised items). Windows that meet place the item against the document; the
-tokens are then compared one by one along that place, and the share of the item in its best passage decides. With
-``slots="agree"`` windows are looked up with the values of their slots, so they are plain runs of words; with ``slots="any"``
-by template alone unless most of the window is slots, and slots count where their values map one to one along the place.
+1. Text is reduced to tokens free of markup, layout and typography. Each token has a template (its word, or a typed
+   placeholder for numbers, names and units) and a value.
+2. Windows of templates of the items are a table; the windows of the documents that a Bloom filter of that table lets
+   through are hash-joined with it. Windows that meet place an item against a document.
+3. Along a place the templates are compared token by token. A slot counts if its values map one to one (one value of the
+   document for one of the item, and back). A passage most of whose repeated slots break the mapping is no passage.
+
+``share`` is the part of an item (in letters) in its best passage, slots by their mapping; ``literal`` is the same with
+slots only where their values are equal. Windows of which more than half are slots say little without their values: they
+are keyed by template and value.
 """
 
 from __future__ import annotations
@@ -15,47 +18,67 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.session import written
+
 #: Tokens of a window: words, and single letters of scripts written without spaces.
 WORDS, LETTERS = 6, 18
 #: Share of an item in one passage from which a document contains it.
 SHARE = 0.45
-#: Letters of items handled in one pass; more items mean more passes.
-BLOCK_CHARS = 8_000_000
-#: References and templates longer than this are read as text; shorter ones interrupt a passage and are cut out.
-LONG = 160
-#: Letters that a passage loses where it goes on at another offset.
-SWITCH = 15
+#: Letters that a passage loses where it goes on at another offset; offsets further apart than NEAR are two passages.
+SWITCH, NEAR = 15, 8
+#: Of the slots whose item value stands several times in a passage, the part that must keep one value throughout.
+STEADY = 0.7
 #: Tokens of documents that are looked up at once.
 TOKENS = 300_000
-_UNITS = {"km", "m", "cm", "mm", "kg", "g", "t", "mi", "ft", "км", "м", "кг", "كم", "कि", "km²"}
+#: Largest Bloom filter in bits. Beyond it more windows are let through and joined; none is lost.
+FILTER_BITS = 28
+#: Share of capital letters at word starts from which a text writes its nouns with capitals.
+CAPITALS = 0.2
+#: Determiners of languages that write nouns with capitals: a noun behind one is a word and no name (fixed values).
+_DETERMINERS = set("der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner im am zum zur vom beim ins ans".split())
+#: Signs of units (fixed values): prefixes and bases are combined, and each may carry a power.
+_PREFIXES, _BASES = ["", *"kMGTcmµμnhdp"], ["m", "g", "l", "s", "t", "W", "V", "A", "Hz", "J", "N", "Pa", "eV", "Wh", "bit", "B", "cal", "ha", "bar", "м", "г", "л", "т", "Вт", "Гц", "म", "ग्रा", "م", "غ"]
+_OTHER_UNITS = ["km/h", "mph", "mi", "ft", "in", "yd", "lb", "oz", "ac", "min", "h", "°C", "°F", "K", "км", "кг", "см", "мм", "км/ч", "га", "कि", "किमी", "किग्रा", "كم", "كغ", "سم", "米", "公里", "千米", "公斤", "吨", "キロ", "メートル", "トン", "กม", "กก", "เมตร"]
+_UNITS = {p + b + e for p in _PREFIXES for b in _BASES for e in ("", "2", "3", "²", "³")} | set(_OTHER_UNITS)
 _CUT = re.compile(r"<!--|-->|<ref[^<>]*/>|<ref[^<>]*>.*?</ref>|</?[a-zA-Z][^<>]*>|\{\{(?:lang|nowrap|small|em)\|(?:[a-z-]{2,8}\|)?([^{}|]*)\}\}|\{\{[^{}]*\}\}|\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|\[[0-9]{1,3}\]|\[https?://[^\s\]]+([^\]\n]*)\]|&(?:nbsp|ensp|emsp|thinsp|#160);|&[a-z]+;|'{2,5}", re.S)
 _GONE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x640, *range(0x64B, 0x653), 0x200E, 0x200F])
 _MARKS = re.compile(r"[<\[{&]|''")
 _ODD = re.compile("[\xad​-‏⁠﻿ـً-ْ]")
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+|[ ][0-9]{3}(?![0-9]))*|[^\W\d_぀-ヿ㐀-鿿฀-๿]+|[㐀-鿿ぁ-ゟ฀-๿]|[ァ-ヿ]+|\d+(?:[.,٫٬]\d+|[ ]\d{3}(?!\d))*")
+_EMPTY = np.zeros(0, dtype=np.int32)
+#: Longs whose bits say which windows of an item have met.
+_LONGS = 3
+
+
+def plain(text: str, aside: list[str] | None = None) -> str:
+    """Text without markup and invisible characters, in compatibility form. What references and templates hold is cut
+    out, so that it doesn't interrupt a passage, and put into ``aside`` to be read as texts of their own."""
+
+    def cut(m: re.Match) -> str:
+        s = m.group()
+        if s[0] == "&" or s in ("<!--", "-->"):
+            return " "
+        if s[0] == "{" and m.group(1) is None:
+            if aside is not None and len(s) > 4:
+                aside.append(s[2:-2].replace("|", " "))
+            return ""
+        if s.startswith("<ref") and s.endswith("</ref>"):
+            if aside is not None:
+                aside.append(s[s.find(">") + 1 : -6])
+            return ""
+        return m.group(1) or m.group(2) or m.group(3) or ("" if s[0] in "<'" and not s.startswith(("<br", "<p", "<li")) else "" if s[0] == "[" else " " if s[0] == "<" else "")
 
-
-def _cut(m: re.Match) -> str:
-    s = m.group()
-    if s[0] == "&" or s in ("<!--", "-->"):
-        return " "
-    if len(s) > LONG and s.startswith(("<ref", "{{")):  # no mere citation: its words are text
-        return " " + _CUT.sub(_cut, s[s.find(">") + 1 : -6] if s[0] == "<" else s[2:-2].replace("|", " ")) + " "
-    return m.group(1) or m.group(2) or m.group(3) or ("" if s[0] in "<'" and not s.startswith(("<br", "<p", "<li")) else "" if s[0] == "[" else " " if s[0] == "<" else "")
-
-
-def plain(text: str) -> str:
-    """Text without markup and invisible characters, in compatibility form."""
     if _MARKS.search(text):
-        text = _CUT.sub(_cut, text)
+        text = _CUT.sub(cut, text)
         if "[[" in text or "{{" in text:
-            text = _CUT.sub(_cut, text)
+            text = _CUT.sub(cut, text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         if _ODD.search(text):
@@ -68,53 +91,111 @@ def _code(s: str) -> int:
     return int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "little") >> 1
 
 
+class Bits:
+    """A Bloom filter over codes, three places each, that travels packed."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.mask = np.uint64((1 << min(FILTER_BITS, max(16, int(64 * len(codes)).bit_length()))) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, dtype=bool)
+        for p in self._places(codes.astype(np.uint64)):
+            self.bits[p] = True
+
+    def _places(self, codes: np.ndarray) -> list[np.ndarray]:
+        return [((codes >> np.uint64(s)) & self.mask).astype(np.int64) for s in (0, 17, 35)]
+
+    def may(self, codes: np.ndarray) -> np.ndarray:
+        a, b, c = (np.uint64(s) for s in (0, 17, 35))
+        at = np.flatnonzero(self.bits[((codes >> a) & self.mask).astype(np.int64)])
+        for s in (b, c):
+            at = at[self.bits[((codes[at] >> s) & self.mask).astype(np.int64)]]
+        return at
+
+    def __contains__(self, code: int) -> bool:
+        return all(self.bits[(code >> s) & int(self.mask)] for s in (0, 17, 35))
+
+    def __getstate__(self) -> dict[str, Any]:
+        return {"mask": self.mask, "packed": np.packbits(self.bits)}
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        self.mask = state["mask"]
+        self.bits = np.unpackbits(state["packed"]).view(bool)
+
+
+def usual_words(text: str) -> set[str]:
+    """Words of a text that are no names: those in small letters, the first of a text shorter than a window and, where
+    nouns have capitals, those behind a determiner."""
+    tokens = _TOKEN.findall(plain(text))
+    out = {t for t in tokens if t.islower()} | {t.casefold() for t in tokens[:1] if len(tokens) < WORDS}
+    if sum(t[0].isupper() for t in tokens) > CAPITALS * max(1, len(tokens)):
+        out |= {b.casefold() for a, b in zip(tokens, tokens[1:], strict=False) if a.casefold() in _DETERMINERS}
+    return out
+
+
 class Canon:
-    """Lines to arrays of token numbers; codes[number] is (template, value, letters). Lines seen before are not read again."""
+    """Lines to arrays of token numbers; codes[number] is (template, value, letters, kind). Lines seen before are not read again."""
 
-    def __init__(self, common: set[str], most: int = 400_000) -> None:
-        self.common, self.most = common, most
+    def __init__(self, usual: Bits | set[int], most: int = 400_000) -> None:
+        self.usual, self.most = usual, most
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.lines: dict[str, np.ndarray] = {}
-        self.rows: list[tuple[int, int, int]] = []
-        self.array, self.kept = np.zeros((0, 3), dtype=np.uint64), 0
+        self.lines: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.array, self.filled, self.kept = np.zeros((0, 4), dtype=np.uint64), 0, 0
 
     def _new(self, t: str) -> int:
         c = t[0]
         if c.isdigit():
             value = "".join(str(unicodedata.digit(x)) for x in t if x.isdigit())
-            kind, n = "<number>", len(value)
+            kind, n, sort = "<number>", len(value), 1
         else:
             value, n = t.casefold(), len(t)
-            name = (c.isupper() and value not in self.common) or "ァ" <= c <= "ヿ"
-            kind = "<unit>" if value in _UNITS else "<name>" if name else value
+            name = (c.isupper() and _code(value) not in self.usual) or "ァ" <= c <= "ヿ"
+            kind, sort = ("<name>", 0) if name else (value, 0)
+            if t in _UNITS:
+                sort = 2
         self.number[t] = len(self.rows)
-        self.rows.append((_code(kind), _code(value), n))
+        self.rows.append((_code(kind), _code(value), n, sort))
         return len(self.rows) - 1
 
-    def line(self, line: str) -> np.ndarray:
+    def _numbers(self, text: str) -> np.ndarray:
+        known, new = self.number, self._new
+        return np.array([known[t] if t in known else new(t) for t in _TOKEN.findall(text)], dtype=np.int32)
+
+    def line(self, line: str) -> tuple[np.ndarray, np.ndarray]:
         got = self.lines.get(line)
         if got is None:
-            known, new = self.number, self._new
-            got = np.array([known[t] if t in known else new(t) for t in _TOKEN.findall(plain(line))], dtype=np.int32)
-            self.lines[line] = got
+            aside: list[str] = []
+            own = self._numbers(plain(line, aside))
+            got = self.lines[line] = (own, np.concatenate([_EMPTY, *(self._numbers(plain(a)) for a in aside)]))
             self.kept += len(line)
         return got
 
     def text(self, text: str) -> list[np.ndarray]:
-        return [self.line(x) for x in text.split("\n") if x]
-
-    def codes(self) -> np.ndarray:
-        if len(self.array) < len(self.rows):
-            self.array = np.array(self.rows, dtype=np.uint64).reshape(-1, 3)
-        return self.array
+        """Tokens of the lines, and behind them those of references and templates."""
+        lines = [self.line(x) for x in text.split("\n") if x]
+        return [a for a, _ in lines] + [b for _, b in lines if len(b)]
+
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        """(template, value, letters) of the tokens; a sign of a unit is one behind a number only."""
+        if self.filled < len(self.rows):
+            if len(self.array) < len(self.rows):
+                self.array = np.concatenate([self.array, np.zeros((len(self.rows) + 1024, 4), dtype=np.uint64)])
+            self.array[self.filled : len(self.rows)] = np.array(self.rows[self.filled :], dtype=np.uint64)
+            self.filled = len(self.rows)
+        c = self.array[numbers]
+        unit = np.flatnonzero((c[1:, 3] == 2) & (c[:-1, 3] == 1)) + 1
+        c[unit, 0] = _UNIT
+        return c[:, :3]
 
     def full(self) -> bool:
         return len(self.rows) > self.most or self.kept > 64_000_000
 
 
+_UNIT = np.uint64(_code("<unit>"))
+
+
 def _rolled(codes: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
     """Hashes of the runs of each width from each place on, put together from runs of doubling length."""
     base = 0x9E3779B97F4A7C15
@@ -136,75 +217,64 @@ def _rolled(codes: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-class Items:
-    """The windows of a set of items, ready for lookup."""
-
-    def __init__(self, rows: list[tuple[int, str]], words: int = WORDS, letters: int = LETTERS, slots: str = "agree") -> None:
-        self.widths, self.slots = (words, letters), slots
-        texts = [(i, plain(t or "")) for i, t in rows]
-        self.common = {t for _, x in texts for t in _TOKEN.findall(x) if t.islower()}
-        canon = Canon(self.common, 1 << 62)
-        self.ids, self.tokens = [], []
-        for i, t in rows:
-            n = np.concatenate([np.zeros(0, dtype=np.int32), *canon.text(t or "")])
-            if len(n):
-                self.ids.append(i)
-                self.tokens.append(canon.codes()[n])
-        self.weights = [c[:, 2].astype(np.int64) for c in self.tokens]
-        self.tables = []
-        keys = [self.keys(c) for c in self.tokens]
-        for j, w in enumerate(self.widths):
-            h, who, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for k, weight in enumerate(self.weights):
-                r = keys[k][j]
-                # long windows for runs of single letters, short ones for words
-                size = np.convolve(weight, np.ones(w, dtype=np.int64), "valid") if len(r) else np.zeros(0)
-                ok = np.flatnonzero((size >= 3 * w) if w == words else (size < 3 * w))
-                h.append(r[ok])
-                who.append(np.full(len(ok), k))
-                at.append(ok)
-            h, who, at = (np.concatenate(x) for x in (h, who, at))
-            order = np.argsort(h, kind="stable")
-            maybe = np.zeros(1 << 20, dtype=bool)
-            maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables.append((h[order], who[order], at[order], maybe))
-
-    def keys(self, c: np.ndarray) -> list[np.ndarray]:
-        exact = c[:, 0] + c[:, 1] * np.uint64(0x94D049BB133111EB)
-        if self.slots == "agree":
-            return _rolled(exact, self.widths)
-        # windows of which more than half are slots say little without their values and are looked up with them
-        words = np.r_[0, np.cumsum(c[:, 0] == c[:, 1])]
-        out = []
-        for w, t, e in zip(self.widths, _rolled(c[:, 0], self.widths), _rolled(exact, self.widths), strict=True):
-            out.append(np.where(2 * (words[w:] - words[:-w])[: len(t)] >= w, t, e) if len(t) else t)
-        return out
+def window_keys(c: np.ndarray, widths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each width (key, is it of templates alone, hash with the values) of the window at each place."""
+    exact = c[:, 0] + c[:, 1] * np.uint64(0x94D049BB133111EB)
+    words = np.r_[0, np.cumsum(c[:, 0] == c[:, 1])]
+    out = []
+    for w, t, e in zip(widths, _rolled(c[:, 0], widths), _rolled(exact, widths), strict=True):
+        alone = 2 * (words[w:] - words[:-w])[: len(t)] >= w if len(t) else np.zeros(0, dtype=bool)
+        out.append((np.where(alone, t, e) + np.uint64(w), alone, e))
+    return out
 
-    def meets(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in c, item, place in the item) of every window that meets one of an item."""
-        out = [(np.zeros(0, dtype=np.int64),) * 3]
-        for r, (h, who, at, maybe) in zip(self.keys(c), self.tables, strict=True):
-            if not len(h) or not len(r):
-                continue
-            hit = np.flatnonzero(maybe[(r & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo = np.searchsorted(h, r[hit])
-            ok = h[np.minimum(lo, len(h) - 1)] == r[hit]
-            hit, lo = hit[ok], lo[ok]
-            n = np.searchsorted(h, r[hit], side="right") - lo
-            idx = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((np.repeat(hit, n), who[idx], at[idx]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def _consistent(self, c: np.ndarray, k: int, offsets: np.ndarray, same: np.ndarray) -> np.ndarray:
-        """``same`` without the slots whose values don't map one to one between item k and c, the most frequent pairs first."""
-        item = self.tokens[k]
+
+def item_windows(c: np.ndarray, least: float, words: int = WORDS, letters: int = LETTERS, slots: str = "any") -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(keys, hashes with values, places, width or 0, windows needed) of an item.
+
+    Runs of single letters have long windows, words short ones; an item too short for either is one window of its own
+    width. Needed are the windows of the least passage that two replaced words leave in the worst places.
+    """
+    n, size = len(c), c[:, 2].astype(np.int64)
+    keys, full, at, alone = [], [], [], []
+    total = np.r_[0, np.cumsum(size)]
+    for w, (k, a, e) in zip((words, letters), window_keys(c, (words, letters)), strict=True):
+        held = (total[w:] - total[:-w])[: len(k)] if len(k) else np.zeros(0)
+        ok = np.flatnonzero(held >= 3 * w) if w == words else np.flatnonzero(held < 3 * w)
+        keys.append(k[ok])
+        full.append(e[ok])
+        at.append(ok)
+        alone.append(a[ok])
+    keys, full, at, alone = (np.concatenate(x) for x in (keys, full, at, alone))
+    order = np.argsort(keys, kind="stable")
+    keys, full, at, alone = keys[order], full[order], at[order], alone[order]
+    if not len(keys):
+        keys, _, full = window_keys(c, (n,))[0]
+        return keys, full, np.zeros(1, dtype=np.int64), n, 1
+    w, lost = (letters, 4) if size.sum() < 3 * n else (words, 2)
+    need = min(least * n - (lost + 3 * (w - 1)), 0.5 * least * n - words, n - letters)
+    if slots == "any":  # windows keyed with their values don't meet where the values are others
+        there = np.r_[0, np.cumsum(np.bincount(at[alone], minlength=n) > 0)]
+        span = min(n, max(1, int(0.75 * least * n)))
+        need = min(need, int((there[span:] - there[: n - span + 1]).min()) - 2 * w)
+    return keys, full, at, 0, max(1, int(need))
+
+
+class Pair:
+    """An item laid against a document: arrays (template, value, letters) of both."""
+
+    def __init__(self, item: np.ndarray, doc: np.ndarray) -> None:
+        self.item, self.doc, self.weight = item, doc, item[:, 2].astype(np.int64)
+
+    def _steady(self, offsets: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``same`` without the slots whose values don't map one to one, the most frequent pairs first, and the slots left out."""
+        item, c = self.item, self.doc
         slots = same & (item[:, 0] != item[:, 1])[:, None]
         beside = np.zeros_like(same)
         beside[1:] |= same[:-1]
         beside[:-1] |= same[1:]
         i, j = np.nonzero(slots)
         if not len(i):
-            return same
+            return same, slots
         pairs = np.stack([item[i, 1], c[i + offsets[j], 1]], axis=1)
         kinds, which = np.unique(pairs, axis=0, return_inverse=True)
         which = which.reshape(-1)
@@ -216,147 +286,217 @@ class Items:
                 a_to.add(p)
                 b_to.add(q)
                 good[x] = True
-        same = same & ~slots
-        same[i[good[which]], j[good[which]]] = True
-        return same
+        steady = np.zeros_like(same)
+        steady[i[good[which]], j[good[which]]] = True
+        return (same & ~slots) | steady, slots & ~steady
 
-    @staticmethod
-    def _longest(same: np.ndarray, weight: np.ndarray) -> int:
+    def _longest(self, same: np.ndarray) -> int:
         """Letters of the longest run with a score above 0 if going on at another offset were free: no passage is longer."""
+        weight = self.weight
         score, letters = np.zeros((2, len(weight) + 1), dtype=np.int64)
         np.cumsum(np.where(same.any(axis=1), weight, -2 * weight), out=score[1:])
         np.cumsum(weight, out=letters[1:])
         first = np.searchsorted(-np.minimum.accumulate(score), -score, side="right")  # the first place with a lower score
         return int((letters - letters[np.minimum(first, np.arange(len(score)))]).max())
 
-    def _enough(self, pair: np.ndarray, off: np.ndarray, at: np.ndarray, least: float) -> np.ndarray:
-        """Which hits lie in passages with the windows that two replaced words leave, in the worst places, of the least passage."""
-        group = np.cumsum(np.r_[True, (pair[1:] != pair[:-1]) | (np.diff(off) > 8)]) - 1
-        n = np.array([len(t) for t in self.tokens])
-        letters = np.array([w.sum() for w in self.weights]) < 3 * n
-        left = least * n - np.where(letters, 4 + 3 * (self.widths[1] - 1), 2 + 3 * (self.widths[0] - 1))
-        need = np.maximum(1, np.minimum(np.minimum(left, 0.5 * least * n - self.widths[0]), n - self.widths[1]))
-        met = np.bincount(np.unique(group * (int(n.max()) + 1) + at) // (int(n.max()) + 1), minlength=group[-1] + 1)
-        return met[group] >= need[pair % len(self.ids)]
-
-    def _worth(self, c: np.ndarray, who: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """For each passage (n-th item laid at a place of c) its equal letters, at most."""
-        code, out = np.ascontiguousarray(c[:, 0 if self.slots == "any" else 1]), np.zeros(len(who), dtype=np.int64)
-        order = np.argsort(who, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(who[order])) + 1):
-            item, weight = self.tokens[who[own[0]]], self.weights[who[own[0]]]
-            col, steps = item[:, 0 if self.slots == "any" else 1], np.arange(len(item))
-            for lo in range(0, len(own), 1 + 2_000_000 // len(item)):
-                some = own[lo : lo + 1 + 2_000_000 // len(item)]
-                at = np.clip(place[some][:, None] + steps, 0, len(code) - 1)
-                out[some] = (code[at] == col) @ weight
-        return out
-
-    def share(self, c: np.ndarray, k: int, offsets: np.ndarray, least: float = 0.0) -> float:
-        """Share of item k (in letters) in its best passage in c, laid at offsets that lie close together; 0 if below ``least`` for certain."""
-        item, weight = self.tokens[k], self.weights[k]
-        n = len(item)
-        col = 0 if self.slots == "any" else 1
-        at = np.arange(n)[:, None] + offsets
-        same = (c[:, col][np.minimum(np.maximum(at, 0), len(c) - 1)] == item[:, col, None]) & (at >= 0) & (at < len(c))
-        if self._longest(same, weight) < least * weight.sum():
-            return 0.0
-        if self.slots == "any":
-            same = self._consistent(c, k, offsets, same)
-            if self._longest(same, weight) < least * weight.sum():
-                return 0.0
-        score, got = np.zeros(len(offsets), dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
-        best = top = 0
-        # a replaced word costs twice its letters; going on at another offset (a word more or less) costs SWITCH
-        for eq, x in zip(same, weight.tolist(), strict=True):
+    def _best(self, same: np.ndarray) -> tuple[int, int, int]:
+        """(letters, first token, end) of the best passage: a replaced word costs twice its letters, another offset SWITCH."""
+        m = same.shape[1]
+        score, got, since = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        best, top = 0, (0, 0, 0)
+        for i, (eq, x) in enumerate(zip(same, self.weight.tolist(), strict=True)):
             j = int(score.argmax())
             over = score < score[j] - SWITCH
-            score[over], got[over] = score[j] - SWITCH, got[j]
+            score[over], got[over], since[over] = score[j] - SWITCH, got[j], since[j]
             score += np.where(eq, x, -2 * x)
             got += x
             gone = score <= 0
             score[gone] = got[gone] = 0
+            since[gone] = i + 1
             j = int(score.argmax())
             if score[j] > best:
-                best, top = int(score[j]), int(got[j])
-        return top / max(1, int(weight.sum()))
-
-    def found(self, c: np.ndarray, starts: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-        """(document, item, share) of the items contained in documents; document n has the tokens from starts[n] on."""
-        place, who, at = self.meets(c)
-        if not len(place):
-            return []
-        doc = np.searchsorted(starts, place, side="right") - 1
-        pair = doc * len(self.ids) + who
-        off = place - starts[doc] - at
-        order = np.lexsort((off, pair))
-        pair, off, at = pair[order], off[order], at[order]
-        if self.slots == "agree":
-            enough = self._enough(pair, off, at, least)
-            pair, off = pair[enough], off[enough]
-            if not len(pair):
-                return []
-        fresh = np.r_[True, (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])]
-        pair, off = pair[fresh], off[fresh]
-        # passages: windows of a pair whose offsets lie close together; with any slots one window is enough to compare
-        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (np.diff(off) > 8)])
-        ends = np.r_[first[1:], len(pair)]
-        # a passage with a score above 0 has at most half as many replaced letters as equal ones
-        equal = np.add.reduceat(self._worth(c, pair % len(self.ids), starts[pair // len(self.ids)] + off), first)
-        total = np.array([w.sum() for w in self.weights])[pair[first] % len(self.ids)]
-        good = 1.5 * equal >= least * total
-        best: dict[int, float] = {}
-        for lo, hi in zip(first[good].tolist(), ends[good].tolist(), strict=True):
-            p = int(pair[lo])
-            d, k = divmod(p, len(self.ids))
-            own = c[int(starts[d]) : int(starts[d + 1]) if d + 1 < len(starts) else len(c)]
-            got = self.share(own, k, off[lo:hi], least)
-            if got >= least and got > best.get(p, -1.0):
-                best[p] = got
-        return [(p // len(self.ids), self.ids[p % len(self.ids)], x) for p, x in best.items()]
-
-
-def leaked(docs: DataFrame, ident: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = SHARE, slots: str = "agree", words: int = WORDS, letters: int = LETTERS) -> DataFrame:
-    """(ident, item_id, share): documents that hold at least ``least`` of an item's letters as one passage.
-
-    One pass without a shuffle per block of items; the items are the stated query set and are read to the driver block by
-    block (``BLOCK_CHARS`` letters at most, a longer item alone). Documents are taken whole. Null and empty texts hold
-    nothing and are held by nothing; equal items are each reported; repeated documents are each reported. An item with fewer tokens
-    than a window can't be found and is left out.
-    """
-    q = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    kinds = [docs.schema[ident].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
-    total = q.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
-    src = docs.select(F.col(ident), F.col(text).cast("string"))
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        lookup = Items([(r["i"], r["t"]) for r in part.orderBy("i").collect()], words, letters, slots)
-
-        def run(batches: Iterator[pa.RecordBatch], lookup: Items = lookup) -> Iterator[pa.RecordBatch]:
-            canon = Canon(lookup.common)
-            for batch in batches:
-                names, texts = batch.schema.names, batch.column(1).to_pylist()
-                rows, ids, shares, lo = [], [], [], 0
-                while lo < len(texts):
-                    hi, parts, starts, n = lo, [np.zeros(0, dtype=np.int32)], [], 0
-                    while hi < len(texts) and n < TOKENS:  # a bounded stretch of tokens at a time
-                        starts.append(n)
-                        for x in canon.text(texts[hi] or ""):
-                            parts.append(x)
-                            n += len(x)
-                        hi += 1
-                    for d, i, s in lookup.found(canon.codes()[np.concatenate(parts)], np.array(starts), least):
-                        rows.append(lo + d)
-                        ids.append(i)
-                        shares.append(s)
-                    lo = hi
+                best, top = int(score[j]), (int(got[j]), int(since[j]), i + 1)
+        return top
+
+    def shares(self, offsets: np.ndarray, least: float, slots: str) -> tuple[float, float]:
+        """(share, literal) of the item in the passage laid at offsets that lie close together; 0 where below ``least``."""
+        item, c, total = self.item, self.doc, max(1, int(self.weight.sum()))
+        at = np.arange(len(item))[:, None] + offsets
+        inside, at = (at >= 0) & (at < len(c)), np.clip(at, 0, len(c) - 1)
+        same = (c[:, 0][at] == item[:, 0, None]) & inside
+        if self._longest(same) < least * total:
+            return 0.0, 0.0
+        equal = (c[:, 1][at] == item[:, 1, None]) & inside
+        literal = self._best(equal)[0] / total if self._longest(equal) >= least * total else 0.0
+        if slots == "agree":
+            return literal, literal
+        kept, broken = self._steady(offsets, same)
+        if self._longest(kept) < least * total:
+            return (literal, literal) if literal >= least else (0.0, 0.0)
+        got, lo, hi = self._best(kept)
+        # slots whose item value comes again in the passage: enough of them must keep their value
+        again = np.zeros(len(item), dtype=bool)
+        slot = np.flatnonzero(item[lo:hi, 0] != item[lo:hi, 1]) + lo
+        _, which, often = np.unique(item[slot, 1], return_inverse=True, return_counts=True)
+        again[slot] = often[which.reshape(-1)] > 1
+        lost, held = int((broken.any(axis=1) & ~kept.any(axis=1) & again).sum()), int((kept.any(axis=1) & again).sum())
+        share = got / total if held >= STEADY * (held + lost) else 0.0
+        return max(share, literal), literal
+
+    def best(self, keys: tuple[np.ndarray, np.ndarray], places: tuple[np.ndarray, np.ndarray], need: int, least: float, slots: str) -> tuple[float, float]:
+        """The best (share, literal) over all passages; keys and places of the windows of the item (in order of keys) and of the document."""
+        lo, hi = (np.searchsorted(keys[0], keys[1], side=s) for s in ("left", "right"))
+        n = hi - lo
+        idx = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = places[0][idx].astype(np.int64)
+        off = np.repeat(places[1].astype(np.int64), n) - at
+        order = np.argsort(off, kind="stable")
+        off, at = off[order], at[order]
+        out = (0.0, 0.0)
+        cuts = np.r_[0, np.flatnonzero(np.diff(off) > NEAR) + 1, len(off)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= need and (need == 1 or len(np.unique(at[a:b])) >= need):
+                got = self.shares(np.unique(off[a:b]), least, slots)
+                out = (max(out[0], got[0]), max(out[1], got[1]))
+        return out
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    cuts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    cuts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.astype(kind.to_pandas_dtype())))
+
+
+_CODES = "t array<bigint>, v array<bigint>, n array<int>, h array<bigint>, e array<bigint>, at array<int>"
+_CODE_NAMES, _CODE_TYPES = ["t", "v", "n", "h", "e", "at"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+
+
+def _read_items(items: DataFrame, usual: Bits, least: float, words: int, letters: int, slots: str) -> DataFrame:
+    """(__item, t, v, n, h, e, at, width, need) of every item with a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon(usual)
+        for b in batches:
+            keep, cols = [], [[] for _ in range(8)]
+            for i, text in enumerate(b.column(1).to_pylist()):
+                c = canon.codes(np.concatenate([_EMPTY, *canon.text(text)]))
+                if len(c):
+                    h, e, at, width, need = item_windows(c, least, words, letters, slots)
+                    keep.append(i)
+                    for col, x in zip(cols, (c[:, 0].view(np.int64), c[:, 1].view(np.int64), c[:, 2].astype(np.int64), h.view(np.int64), e.view(np.int64), at, width, need), strict=True):
+                        col.append(x)
+            lists = [_lists(c, k) for c, k in zip(cols[:6], _CODE_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), *lists, *[pa.array(c, pa.int32()) for c in cols[6:]]], names=["__item", *_CODE_NAMES, "width", "need"])
+
+    return items.select("__item", "__text").mapInArrow(run, f"__item bigint, {_CODES}, width int, need int")
+
+
+def _windows_of(docs: DataFrame, usual: Bits, windows: Bits, values: Bits, widths: tuple[int, ...]) -> DataFrame:
+    """(__a, __b, h, e, at): the windows of documents that the filter lets through. e is 0 where no item has the values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon(usual)
+        for b in batches:
+            texts, lo = b.column(2).to_pylist(), 0
+            while lo < len(texts):
+                hi, parts, starts, n = lo, [_EMPTY], [], 0
+                while hi < len(texts) and n < TOKENS:  # a bounded stretch of tokens at a time
+                    starts.append(n)
+                    for x in canon.text(texts[hi] or ""):
+                        parts.append(x)
+                        n += len(x)
+                    hi += 1
+                c, begin = canon.codes(np.concatenate(parts)), np.array([*starts, n])
+                h, e, at = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+                for w, (k, _, x) in zip(widths, window_keys(c, widths), strict=True):
+                    hit = windows.may(k)
+                    hit = hit[hit + w <= begin[np.searchsorted(begin, hit, side="right")]]  # inside one document
+                    own = np.zeros(len(hit), dtype=np.uint64)
+                    known = values.may(x[hit])
+                    own[known] = x[hit][known]
+                    h.append(k[hit])
+                    e.append(own)
+                    at.append(hit)
+                h, e, at = np.concatenate(h), np.concatenate(e), np.concatenate(at)
+                doc = np.searchsorted(begin, at, side="right") - 1
+                cols = b.select([0, 1]).take(pa.array(doc + lo)).columns
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(h.view(np.int64)), pa.array(e.view(np.int64))], names=["__a", "__b", "h", "e"])
+                lo = hi
+                if canon.full():
+                    canon.reset()
+
+    return docs.select("__a", "__b", "__text").mapInArrow(run, "__a bigint, __b bigint, h bigint, e bigint")
+
+
+def _verified(pairs: DataFrame, usual: Bits, widths: tuple[int, ...], least: float, slots: str) -> DataFrame:
+    """(__name, __id, share, literal) of the pairs (__name, __text, __id, need and the arrays of the item) that reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, last, doc, keys, places = Canon(usual), None, None, None, None
+        for b in batches:
+            keep, share, literal = [], [], []
+            t, v, n, h, at = (_arrays(b.column(x)) for x in ("t", "v", "n", "h", "at"))
+            need = b.column("need").to_pylist()
+            for i, text in enumerate(b.column("__text").to_pylist()):
+                if text != last:  # the pairs of a document mostly come together
                     if canon.full():
                         canon.reset()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, pa_item), pa.array(shares, pa.float64())], names=[names[0], item_id, "share"])
-
-        pa_item = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
-        got = src.mapInArrow(run, f"`{ident}` {kinds[0]}, `{item_id}` {kinds[1]}, share double")
-        out = got if out is None else out.unionByName(got)
-    return out
+                    last, doc = text, canon.codes(np.concatenate([_EMPTY, *canon.text(text)]))
+                    own = [k for k, _, _ in window_keys(doc, widths)]
+                    keys, places = np.concatenate(own), np.concatenate([np.arange(len(k)) for k in own])
+                item = np.stack([t[i].view(np.uint64), v[i].view(np.uint64), n[i].astype(np.uint64)], axis=1)
+                got = Pair(item, doc).best((h[i].view(np.uint64), keys), (at[i], places), need[i], least, slots)
+                if got[0] >= least:
+                    keep.append(i)
+                    share.append(got[0])
+                    literal.append(got[1])
+            some = b.select(["__name", "__id"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(share, pa.float64()), pa.array(literal, pa.float64())], names=["__name", "__id", "share", "literal"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    return pairs.mapInArrow(run, f"__name {kinds['__name']}, __id {kinds['__id']}, share double, literal double")
+
+
+def leaked(docs: DataFrame, ident: str, text: str, items: DataFrame, item_id: str, item_text: str, least: float = SHARE, slots: str = "any", words: int = WORDS, letters: int = LETTERS) -> DataFrame:
+    """(ident, item_id, share, literal): documents that hold at least ``least`` of an item's letters as one passage.
+
+    slots="agree": as the item has it, apart from a few replaced words; "any": whatever its names, numbers and units, as
+    long as they map one to one. Documents are scanned twice: for the windows that meet, and, where enough meet, for the
+    comparison. Of the items, the stated query set, only hashes are brought to the driver: 8 bytes for each
+    window and each usual word, for Bloom filters of ``FILTER_BITS`` at most; their texts and windows stay tables.
+    Documents are taken whole. Null and empty texts hold nothing and are held by nothing; equal items are each reported;
+    repeated documents are each reported; a null identifier of a document is kept; extra columns don't matter. An item with
+    fewer tokens than a window is found where it stands whole.
+    """
+    q = written(items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.monotonically_increasing_id().alias("__item"), F.col(item_id).alias("__id"), F.col(item_text).cast("string").alias("__text")), "leak-items")
+    name, body = F.col(ident), F.col(text).cast("string")
+    texts = docs.where(F.length(body) > 0).select(F.xxhash64(name, body).alias("__a"), F.xxhash64(body, F.lit("second"), name).alias("__b"), name.alias("__name"), body.alias("__text"))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = {w for t in b.column(0).to_pylist() for w in usual_words(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([_code(w) for w in own], pa.int64())], names=["w"])
+
+    codes = lambda df: df.distinct().toPandas().iloc[:, 0].to_numpy(dtype=np.int64).view(np.uint64)
+    usual = Bits(codes(q.select("__text").mapInArrow(words_of, "w bigint")))
+    known = written(_read_items(q, usual, least, words, letters, slots), "leak-windows")
+    windows = known.select("__item", F.inline(F.arrays_zip("h", "e", "at"))).select("__item", "h", F.col("e").alias("ie"), F.col("at").alias("ip"))
+    widths = tuple(sorted({r[0] for r in known.where("width > 0").select("width").distinct().collect()} | {words, letters}))
+    hits = _windows_of(texts, usual, Bits(codes(windows.select("h"))), Bits(codes(windows.select("ie"))), widths)
+    # places in the item as bits: combined before the shuffle; two places of a long item may share one
+    bit = lambda i, c: F.coalesce(F.bit_or(F.when(F.expr(f"pmod(ip div 64, {_LONGS}) = {i}") & c, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ip", F.lit(64)).cast("int")))), F.lit(0))
+    met = hits.join(windows, "h").groupBy("__a", "__b", "__item").agg(*[bit(i, F.lit(True)).alias(f"__m{i}") for i in range(_LONGS)], *[bit(i, F.col("e") == F.col("ie")).alias(f"__q{i}") for i in range(_LONGS)])
+    number = lambda c: sum((F.bit_count(f"{c}{i}") for i in range(1, _LONGS)), F.bit_count(f"{c}0"))
+    # with its own values, a passage has windows whose slots agree: at least half of those that it must have
+    need = F.col("need") / F.ceil(F.size("t") / (64 * _LONGS))
+    enough = (number("__m") >= need) & (number("__q") >= F.greatest(need / 2, F.lit(1)) if slots == "agree" else F.lit(True))
+    pairs = met.join(known.select("__item", "need", "t"), "__item").where(enough).select("__a", "__b", "__item")
+    pairs = texts.join(pairs, ["__a", "__b"]).select("__name", "__text", "__item").join(known.join(q.select("__item", "__id"), "__item").drop("e", "width"), "__item")
+    found = _verified(pairs, usual, widths, least, slots)
+    return found.select(F.col("__name").alias(ident), F.col("__id").alias(item_id), "share", "literal")

@@ -24,13 +24,18 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.count(F.lit(1)).alias("n_containers"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("used"))
 
 
+def _p9(spark: SparkSession, d: str, slots: str) -> DataFrame:
+    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", slots=slots)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+    """Of what the template windows and their slots find, the documents that hold the item with its own names and numbers."""
+    return _p9(spark, d, "agree").select("doc_id", "item_id")
 
 
 def p9_reworded(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the template of an item, whatever its numbers and names as long as they map one to one: half of it, as in p9_found."""
-    return leakage.leaked(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "eval_items"), "item_id", "text", slots="any")
+    """Documents with half of an item, whatever its numbers, names and units as long as they map one to one."""
+    return _p9(spark, d, "any").select("doc_id", "item_id", "share")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
