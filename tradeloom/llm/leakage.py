@@ -39,6 +39,8 @@ STEADY = 0.7
 TOKENS = 300_000
 #: Largest Bloom filter in bits. Beyond it more windows are let through and joined; none is lost.
 FILTER_BITS = 28
+#: Tokens of all items up to which their tables are sent to every executor (about 60 bytes each).
+SMALL_TOKENS = 500_000
 #: Share of capital letters at word starts from which a text writes its nouns with capitals.
 CAPITALS = 0.2
 #: Determiners of languages that write nouns with capitals: a noun behind one is a word and no name (fixed values).
@@ -397,8 +399,8 @@ def _read_items(items: DataFrame, usual: Bits, least: float, words: int, letters
     return items.select("__item", "__text").mapInArrow(run, f"__item bigint, {_CODES}, width int, need int")
 
 
-def _windows_of(docs: DataFrame, usual: Bits, windows: Bits, values: Bits, widths: tuple[int, ...]) -> DataFrame:
-    """(__a, __b, h, e, at): the windows of documents that the filter lets through. e is 0 where no item has the values."""
+def _windows_of(docs: DataFrame, usual: Bits, windows: Bits, values: Bits | None, widths: tuple[int, ...]) -> DataFrame:
+    """(__a, __b, h, e): per document its windows that the filter lets through; with ``values`` only those whose slots may agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon(usual)
@@ -417,21 +419,22 @@ def _windows_of(docs: DataFrame, usual: Bits, windows: Bits, values: Bits, width
                 for w, (k, _, x) in zip(widths, window_keys(c, widths), strict=True):
                     hit = windows.may(k)
                     hit = hit[hit + w <= begin[np.searchsorted(begin, hit, side="right")]]  # inside one document
-                    own = np.zeros(len(hit), dtype=np.uint64)
-                    known = values.may(x[hit])
-                    own[known] = x[hit][known]
+                    if values is not None:
+                        hit = hit[values.may(x[hit])]
                     h.append(k[hit])
-                    e.append(own)
+                    e.append(x[hit])
                     at.append(hit)
                 h, e, at = np.concatenate(h), np.concatenate(e), np.concatenate(at)
-                doc = np.searchsorted(begin, at, side="right") - 1
-                cols = b.select([0, 1]).take(pa.array(doc + lo)).columns
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(h.view(np.int64)), pa.array(e.view(np.int64))], names=["__a", "__b", "h", "e"])
+                order = np.argsort(at, kind="stable")
+                some, first = np.unique(np.searchsorted(begin, at[order], side="right") - 1, return_index=True)
+                if len(some):
+                    parts = [np.split(x[order].view(np.int64), first[1:]) for x in (h, e)]
+                    yield pa.RecordBatch.from_arrays([*b.select([0, 1]).take(pa.array(some + lo)).columns, *[_lists(x, pa.int64()) for x in parts]], names=["__a", "__b", "h", "e"])
                 lo = hi
                 if canon.full():
                     canon.reset()
 
-    return docs.select("__a", "__b", "__text").mapInArrow(run, "__a bigint, __b bigint, h bigint, e bigint")
+    return docs.select("__a", "__b", "__text").mapInArrow(run, "__a bigint, __b bigint, h array<bigint>, e array<bigint>")
 
 
 def _verified(pairs: DataFrame, usual: Bits, widths: tuple[int, ...], least: float, slots: str) -> DataFrame:
@@ -488,15 +491,20 @@ def leaked(docs: DataFrame, ident: str, text: str, items: DataFrame, item_id: st
     known = written(_read_items(q, usual, least, words, letters, slots), "leak-windows")
     windows = known.select("__item", F.inline(F.arrays_zip("h", "e", "at"))).select("__item", "h", F.col("e").alias("ie"), F.col("at").alias("ip"))
     widths = tuple(sorted({r[0] for r in known.where("width > 0").select("width").distinct().collect()} | {words, letters}))
-    hits = _windows_of(texts, usual, Bits(codes(windows.select("h"))), Bits(codes(windows.select("ie"))), widths)
-    # places in the item as bits: combined before the shuffle; two places of a long item may share one
-    bit = lambda i, c: F.coalesce(F.bit_or(F.when(F.expr(f"pmod(ip div 64, {_LONGS}) = {i}") & c, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ip", F.lit(64)).cast("int")))), F.lit(0))
-    met = hits.join(windows, "h").groupBy("__a", "__b", "__item").agg(*[bit(i, F.lit(True)).alias(f"__m{i}") for i in range(_LONGS)], *[bit(i, F.col("e") == F.col("ie")).alias(f"__q{i}") for i in range(_LONGS)])
-    number = lambda c: sum((F.bit_count(f"{c}{i}") for i in range(1, _LONGS)), F.bit_count(f"{c}0"))
-    # with its own values, a passage has windows whose slots agree: at least half of those that it must have
-    need = F.col("need") / F.ceil(F.size("t") / (64 * _LONGS))
-    enough = (number("__m") >= need) & (number("__q") >= F.greatest(need / 2, F.lit(1)) if slots == "agree" else F.lit(True))
-    pairs = met.join(known.select("__item", "need", "t"), "__item").where(enough).select("__a", "__b", "__item")
-    pairs = texts.join(pairs, ["__a", "__b"]).select("__name", "__text", "__item").join(known.join(q.select("__item", "__id"), "__item").drop("e", "width"), "__item")
+    agree = slots == "agree"
+    values = Bits(codes(windows.select("ie"))) if agree else None
+    # dealt by document before the join, so that counting needs no further shuffle
+    hits = _windows_of(texts, usual, Bits(codes(windows.select("h"))), values, widths).repartition("__a", "__b").select("__a", "__b", F.inline(F.arrays_zip("h", "e")))
+    small = (known.agg(F.sum(F.size("t"))).first()[0] or 0) <= SMALL_TOKENS
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    # places in the item as bits; two places of a long item may share one
+    bit = lambda i: F.coalesce(F.bit_or(F.when(F.expr(f"pmod(ip div 64, {_LONGS}) = {i}"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("ip", F.lit(64)).cast("int")))), F.lit(0))
+    at = (hits["h"] == windows["h"]) & (hits["e"] == windows["ie"]) if agree else hits["h"] == windows["h"]
+    met = hits.join(side(windows), at).groupBy("__a", "__b", "__item").agg(*[bit(i).alias(f"__m{i}") for i in range(_LONGS)])
+    number = sum((F.bit_count(f"__m{i}") for i in range(1, _LONGS)), F.bit_count("__m0"))
+    # of a passage with its own values at least half of the windows that must meet have slots that agree
+    need = F.col("need") / F.ceil(F.size("t") / (64 * _LONGS)) / (2 if agree else 1)
+    pairs = met.join(side(known.select("__item", "need", "t")), "__item").where(number >= F.greatest(need, F.lit(1))).select("__a", "__b", "__item")
+    pairs = texts.join(pairs, ["__a", "__b"]).select("__name", "__text", "__item").join(side(known.join(q.select("__item", "__id"), "__item").drop("e", "width")), "__item")
     found = _verified(pairs, usual, widths, least, slots)
     return found.select(F.col("__name").alias(ident), F.col("__id").alias(item_id), "share", "literal")
