@@ -69,16 +69,35 @@ def test_compaction(spark, seed):
 
 
 def test_compaction_groups_and_rewrite(spark, tmp_path):
-    data = [(1, "A", i, 1.0, f"f{i % 50:02d}", 1) for i in range(500)]
+    data = [(1, "A", i, 1.0, f"f{i % 51:02d}", 1) for i in range(510)] + [(1, "B", 1, 1.0, "g0", 1), (2, None, 1, 1.0, "h0", 1), (2, None, None, 1.0, "h1", 1)]
     df = spark.createDataFrame(data, "day int, symbol string, trade_id long, price double, file string, bytes int")
-    plan = compaction.plan(df, part(), "file", REC, small_rows=40, target_bytes=64 * 100)
-    sizes = defaultdict(int)
+    plan = compaction.plan(df, part(), "file", REC, small_rows=40, target_bytes=1000, size=F.lit(10).cast("long"))
+    sizes, members = defaultdict(int), defaultdict(int)
     for r in plan.collect():
-        assert r["action"] == "merge"
-        sizes[r["out_file"]] += r["rows"]
-    assert len(sizes) == 5 and min(sizes.values()) > 50
-    compaction.rewrite(df, plan, part(), "file", REC, str(tmp_path / "out"), files_hint=2)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 500
+        assert r["action"] == ("keep" if r["file"] == "g0" else "merge")
+        if r["canonical"] == "A":
+            sizes[r["out_file"]] += r["rows"]
+            members[r["out_file"]] += 1
+    # files of 100 bytes in pairs: intervals of 1000 bytes hold ten, the last pair takes the odd file
+    assert sorted(members.values()) == [10, 10, 10, 10, 11] and sum(sizes.values()) == 510
+    path = str(tmp_path / "out")
+    back = compaction.rewritten(df, plan, part(), "file", REC, path)
+    assert back.count() == 513
+    assert all(r["ok"] for r in compaction.reconcile(df, back, part(), REC, {n: F.col(n) for n in part()}).collect())
+    assert {r["out_file"] for r in back.where("canonical = 'A'").select("out_file").distinct().collect()} == set(sizes)
+
+
+def test_compaction_bytes(spark):
+    df = spark.createDataFrame([("ä", 1, None, True)], "s string, i int, d double, b boolean")
+    assert df.select(compaction.row_bytes(df, ["b"])).first()[0] == 6
+
+
+def test_nested_files(spark):
+    """Files nested in each other: all but the largest are redundant, without a candidate per pair of files."""
+    data = [(1, "A", i, 1.0, f"f{n:02d}", 1) for n in range(30) for i in range(n + 1)]
+    df = spark.createDataFrame(data, "day int, symbol string, trade_id long, price double, file string, bytes int")
+    got = {r["file"]: r["action"] for r in compaction.plan(df, part(), "file", REC, small_rows=1).collect()}
+    assert {f for f, a in got.items() if a == "drop"} == {f"f{n:02d}" for n in range(29)}
 
 
 def test_compaction_empty(spark):

@@ -1,10 +1,11 @@
 """Many small files into few of good size, planned in SQL from a frozen manifest.
 
-1. ``manifest``: one row per (partition, file): rows and bytes, frozen by writing it.
+1. ``manifest``: one row per (partition, file): rows and bytes, in order of partition and file, frozen by writing it.
 2. ``redundant_files``: files whose records all lie in one other file (left behind by consolidations that broke off).
-3. ``plan``: the small files are ordered, their bytes summed by windows, and groups assigned by target-sized intervals.
+3. ``plan``: the small files are taken in order, their bytes summed by windows, and groups assigned by target-sized
+   intervals of the running sum. A file is merged if its group has another one.
 4. ``rewrite``: the rows of merged files, each distinct record once, in one output file per group; ``reconcile`` compares
-   counts by partition.
+   the counts of what is read back with those before.
 
 Two rows are one record if the record columns agree; a null in the first record column agrees with nothing. Nulls in
 other columns agree with each other. Partition keys may be null (they form a partition of their own); rows without
@@ -13,13 +14,26 @@ a file name are no part of any file and are left alone. Columns of the input bey
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeloom.session import written
+from tradeloom.operators import lake
+from tradeloom.session import scratch, written
 
-#: Bytes that a row takes at least in a row-wise estimate: the manifest of a lake that was read without file metadata.
-ROW_BYTES = 64
+TARGET_BYTES = 128 << 20
+
+
+def row_bytes(df: DataFrame, leave: list[str] = ()) -> Column:
+    """Bytes of a row's values as stored plainly: the length of texts, the width of fixed types, nothing for a null."""
+    width = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    size = lambda n, t: F.octet_length(n) if t in ("string", "binary") else F.when(F.col(n).isNotNull(), F.lit(width.get(t, 8)))
+    parts = [F.coalesce(size(f"`{n}`", t), F.lit(0)) for n, t in df.dtypes if n not in leave]
+    return sum(parts[1:], parts[0]).cast("long") if parts else F.lit(0).cast("long")
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes) of a directory as its file system tells them: the sizes of a lake that is still in its files."""
+    return spark.createDataFrame(lake.file_sizes(spark, path), "file string, bytes long")
 
 
 def _prepared(df: DataFrame, partition: dict[str, Column], file: str, record: list[str]) -> DataFrame:
@@ -35,15 +49,22 @@ def _keys(partition: dict[str, Column]) -> list[str]:
     return [f"__p{i}" for i in range(len(partition))]
 
 
-def manifest(df: DataFrame, partition: dict[str, Column], file: str, record: list[str]) -> DataFrame:
-    """The frozen manifest: one row per file with its partition, rows, bytes and rows without a record key. It is written
-    to the shared folder, so that all planning sees the same files."""
+def manifest(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], size: Column, sizes: DataFrame | None = None) -> DataFrame:
+    """The frozen manifest: one row per file with its partition, rows, bytes and rows without a record key.
+
+    Bytes are those of ``sizes`` (file, bytes; see ``file_sizes``) where it knows the file, else the sum of ``size`` over
+    its rows. It is written to the shared folder in order of partition and file, so that all planning sees the same
+    files; __range numbers the stretches it was written in, among which a partition with very many files is split.
+    """
     keys, part = _keys(partition), list(partition.values())
-    x = df.where(F.col(file).isNotNull()).select(*[c.alias(k) for k, c in zip(keys, part, strict=True)], F.col(file).alias("__file"), F.col(record[0]).isNull().cast("long").alias("__none"))
-    g = x.groupBy(*keys, "__file").agg(F.count(F.lit(1)).alias("rows"), F.sum("__none").alias("unkeyed"))
+    x = df.where(F.col(file).isNotNull()).select(*[c.alias(k) for k, c in zip(keys, part, strict=True)], F.col(file).alias("__file"), F.col(record[0]).isNull().cast("long").alias("__none"), size.alias("__size"))
+    g = x.groupBy(*keys, "__file").agg(F.count(F.lit(1)).alias("rows"), F.sum("__none").alias("unkeyed"), F.sum("__size").alias("bytes"))
+    if sizes is not None:
+        g = g.join(sizes.select(F.col("file").alias("__file"), F.col("bytes").alias("__told")), "__file", "left").withColumn("bytes", F.coalesce("__told", "bytes")).drop("__told")
     named = [F.col(k) for k in keys]
     pid = F.xxhash64(*named, *[k.isNull().cast("int") for k in named])
-    return written(g.select("*", (F.col("rows") * ROW_BYTES).alias("bytes"), pid.alias("__pid"), F.xxhash64(F.col("__file"), *named).alias("__fid")), "manifest")
+    g = g.select("*", pid.alias("__pid"), F.xxhash64(F.col("__file"), *named).alias("__fid")).repartitionByRange(*[F.col(k) for k in keys], F.col("__file"))
+    return written(g.withColumn("__range", F.spark_partition_id()), "manifest")
 
 
 def redundant_files(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], man: DataFrame) -> DataFrame:
@@ -51,9 +72,10 @@ def redundant_files(df: DataFrame, partition: dict[str, Column], file: str, reco
     first by name stays.
 
     A record that one file alone holds makes that file irreplaceable; what is left are records of several files, the only
-    ones whose members are looked up. Equal files are found by fingerprint, and only the first of each set goes on. A file
-    can lie only in files that hold its rarest record: those are its candidates, and each is verified by counting shared
-    records. No pairs of all files of a partition are made.
+    ones whose members are looked up. Equal files are found by fingerprint, and only the first of each set goes on. Where one
+    larger file is the largest holder of all records of a file, that is settled by one aggregation (files nested in each other
+    end here). Of what remains, a file can lie only in files that hold its rarest record: those are its candidates, and
+    each is verified by counting shared records.
     """
     rec, at = ["__pid", "__h1", "__h2"], ["__pid", "__fid"]
     rows = _prepared(df, partition, file, record)
@@ -69,46 +91,54 @@ def redundant_files(df: DataFrame, partition: dict[str, Column], file: str, reco
     whole = written(whole.join(sets, ["__pid", "records", "fp1", "fp2"]).select(*at, "records", F.col("__m.__fid").alias("__first")), "replaceable")
     twins = whole.where("__fid <> __first").select(*at)
     lead = whole.where("__fid = __first").select(*at, "records")
-    often = members.groupBy(*rec).agg(F.count(F.lit(1)).alias("__held"))
-    rarest = members.join(lead, at).join(often, rec).groupBy(*at, "records").agg(F.min(F.struct("__held", "__h1", "__h2")).alias("__r"))
-    rarest = rarest.select(*at, "records", F.col("__r.__h1").alias("__h1"), F.col("__r.__h2").alias("__h2"))
     # a file that is not replaceable holds more than any that lies in it; of the others it must be a larger one
     sized = members.join(whole.select(*at, F.col("records").alias("__size")), at, "left").select(*rec, F.col("__fid").alias("__in"), "__size")
+    often = written(sized.groupBy(*rec).agg(F.count(F.lit(1)).alias("__held"), F.max(F.struct(F.coalesce("__size", F.lit(2**62)).alias("s"), F.col("__in").alias("f"))).alias("__top")), "holders")
+    own = members.join(lead, at).join(often, rec)
+    # per file the rarest record, and whether all its records have one and the same largest holder
+    own = own.groupBy(*at, "records").agg(F.min(F.struct("__held", "__h1", "__h2")).alias("__r"), F.min("__top").alias("__lo"), F.max("__top").alias("__hi"))
+    own = written(own.withColumn("__sure", (F.col("__lo.f") == F.col("__hi.f")) & (F.col("__lo.f") != F.col("__fid")) & (F.col("__lo.s") > F.col("records"))), "rarest")
+    rarest = own.where("not __sure").select(*at, "records", F.col("__r.__h1").alias("__h1"), F.col("__r.__h2").alias("__h2"))
     cand = rarest.join(sized, rec).where("__fid <> __in and (__size is null or __size > records)").select(*at, "records", "__in")
     want = cand.join(members, at).select(*rec, "__fid", "records", "__in")
     met = want.join(members.select(*rec, F.col("__fid").alias("__in")), [*rec, "__in"], "left_semi")
     inside = met.groupBy(*at, "__in", "records").agg(F.count(F.lit(1)).alias("__met")).where("__met = records")
-    return twins.union(inside.select(*at)).distinct()
+    return twins.union(own.where("__sure").select(*at)).union(inside.select(*at)).distinct()
 
 
-def plan(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], small_rows: int = 40, target_bytes: int = 128 << 20) -> DataFrame:
+def plan(df: DataFrame, partition: dict[str, Column], file: str, record: list[str], small_rows: int = 40, target_bytes: int = TARGET_BYTES, size: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """One row per file: partition keys (named as in ``partition``), file, rows, bytes, action, out_file.
 
-    action: drop (redundant), merge (small, with another small one in its partition), keep. Merged files are ordered by a
-    hash of their name and the name; bytes are summed in two steps (per 64 hash ranges, then within one) so that
-    a partition with very many files is not one task. A group is an interval of the running sum; its length
-    is at least target_bytes, so no group is a lone small file unless that file alone reaches the target.
+    action: drop (redundant), merge (small, with another small one in its group), keep. The small files of a partition are
+    taken in pairs by name (three at the end if their number is odd); a pair belongs to the target-sized interval of the
+    running sum of bytes in which it begins, so a group has at least two files wherever the partition has, and none
+    exceeds the target by more than a pair. Redundant files stand in the order but add no bytes. Sums and ranks are made in
+    two steps, per stretch of the manifest and then within one, so that a partition with very many files is not one task.
     """
     keys = _keys(partition)
-    man = manifest(df, partition, file, record)
+    man = manifest(df, partition, file, record, row_bytes(df, [file]) if size is None else size, sizes)
     gone = redundant_files(df, partition, file, record, man)
     x = man.join(gone.withColumn("__gone", F.lit(True)), ["__pid", "__fid"], "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
-    x = x.withColumn("__small", F.col("rows") < small_rows).withColumn("__range", F.pmod(F.xxhash64("__file"), F.lit(64)))
-    part = x.groupBy("__pid", "__range").agg(F.sum(F.col("__small").cast("int")).alias("__k"), F.sum(F.when(F.col("__small") & ~F.col("__gone"), F.col("bytes")).otherwise(0)).alias("__b"))
+    x = x.withColumn("__small", F.col("rows") < small_rows)
+    small = x.where("__small").withColumn("__b", F.when(F.col("__gone"), 0).otherwise(F.col("bytes")))
+    part = small.groupBy("__pid", "__range").agg(F.count(F.lit(1)).alias("__k"), F.sum("__b").alias("__s"))
     w = Window.partitionBy("__pid")
-    part = part.select(
-        "__pid", "__range", F.sum("__k").over(w).alias("__smalls"), F.sum("__b").over(w).alias("__total"),
-        (F.sum("__b").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b")).alias("__before"),
-    )
-    x = x.join(part, ["__pid", "__range"])
-    merged = F.col("__small") & (F.col("__smalls") >= 2) & ~F.col("__gone")
-    inner = Window.partitionBy("__pid", "__range").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum(F.when(F.col("__small") & ~F.col("__gone"), F.col("bytes")).otherwise(0)).over(inner), F.lit(0))
-    groups = F.greatest(F.floor(F.col("__total") / F.lit(target_bytes)), F.lit(1))
-    group = F.least(F.floor(start * groups / F.greatest(F.col("__total"), F.lit(1))), groups - 1)
+    before = w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("__pid", "__range", F.sum("__k").over(w).alias("__all"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__k0"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"))
+    inner = Window.partitionBy("__pid", "__range").orderBy("__file", "__fid")
+    start = F.col("__s0") + F.coalesce(F.sum("__b").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("__k0") + F.row_number().over(inner) - 1
+    small = small.join(part, ["__pid", "__range"]).select("__pid", "__fid", "__gone", "__all", start.alias("__start"), rank.alias("__rank"))
+    pair = F.least(F.floor(F.col("__rank") / 2), F.greatest(F.floor(F.col("__all") / 2), F.lit(1)) - 1)
+    small = small.withColumn("__pair", pair).withColumn("__start", F.min("__start").over(Window.partitionBy("__pid", "__pair")))
+    small = small.withColumn("__group", F.floor(F.col("__start") / F.lit(target_bytes)))
+    groups = small.groupBy("__pid", "__group").agg(F.count(F.lit(1)).alias("__members"))
+    small = small.join(groups, ["__pid", "__group"]).select("__pid", "__fid", "__group", "__members")
+    x = x.join(small, ["__pid", "__fid"], "left")
+    merged = ~F.col("__gone") & (F.coalesce("__members", F.lit(0)) >= 2)
     action = F.when(F.col("__gone"), "drop").when(merged, "merge").otherwise("keep")
     named = [F.col(k).alias(n) for k, n in zip(keys, partition, strict=True)]
-    out = F.when(merged, F.format_string("consolidated-%05d", group)).when(~F.col("__gone"), F.col("__file"))
+    out = F.when(merged, F.format_string("consolidated-%012d", "__group")).when(~F.col("__gone"), F.col("__file"))
     return x.select(*named, F.col("__file").alias("file"), "rows", "bytes", action.alias("action"), out.alias("out_file"))
 
 
@@ -132,27 +162,34 @@ def consolidated(df: DataFrame, planned: DataFrame, partition: dict[str, Column]
     return one.unionByName(x.where(F.col(record[0]).isNull()).select(*one.columns)).drop(*clash.values())
 
 
-def rewrite(df: DataFrame, planned: DataFrame, partition: dict[str, Column], file: str, record: list[str], path: str, files_hint: int | None = None) -> None:
-    """Write the consolidated rows under ``path``, one task per output file (hashed), partitioned by the partition names."""
+def rewrite(df: DataFrame, planned: DataFrame, partition: dict[str, Column], file: str, record: list[str], path: str) -> None:
+    """Write the consolidated rows under ``path``: the rows of an output file come together in one task, so a file per group is written."""
     x = consolidated(df, planned, partition, file, record).withColumns(partition)
-    by = [*[F.col(n) for n in partition], F.col("out_file")]
-    x = x.repartition(files_hint, *by) if files_hint else x.repartition(*by)
-    x.write.mode("errorifexists").partitionBy(*partition).parquet(path)
-
-
-def reconcile(before: DataFrame, after: DataFrame, partition: dict[str, Column], record: list[str]) -> DataFrame:
-    """Per partition: distinct records and unkeyed rows before and after, and rows after; ok says that none is lost or doubled."""
-    def count(df: DataFrame, tag: str) -> DataFrame:
-        h = F.when(F.col(record[0]).isNotNull(), F.struct(*record))
-        x = df.groupBy(*[c.alias(n) for n, c in partition.items()], h.alias("__rec")).agg(F.count(F.lit(1)).alias("__n"))
-        return x.groupBy(*partition).agg(
-            F.count("__rec").alias(f"records_{tag}"), F.sum(F.when(F.col("__rec").isNull(), F.col("__n")).otherwise(0)).alias(f"unkeyed_{tag}"), F.sum("__n").alias(f"rows_{tag}")
-        )
-
-    a, b = count(before, "before"), count(after, "after")
-    on = F.lit(True)
-    for n in partition:
-        on = on & a[n].eqNullSafe(b[n])
-    x = a.join(b, on, "left").select(*[a[n] for n in partition], "records_before", "unkeyed_before", "rows_before", *[F.coalesce(f"{c}_after", F.lit(0)).alias(f"{c}_after") for c in ("records", "unkeyed", "rows")])
+    x.repartition(*[F.col(n) for n in partition], F.col("out_file")).write.mode("errorifexists").partitionBy(*partition, "out_file").parquet(path)
+
+
+def rewritten(df: DataFrame, planned: DataFrame, partition: dict[str, Column], file: str, record: list[str], path: str | None = None) -> DataFrame:
+    """What ``rewrite`` wrote, read back with the partition columns and out_file; without a path it is a scratch folder."""
+    spark = df.sparkSession
+    path = path or scratch(spark, "consolidated")
+    kinds = dict(consolidated(df, planned, partition, file, record).withColumns(partition).dtypes)
+    rewrite(df, planned, partition, file, record, path)
+    rest = [c for c in kinds if c not in partition and c != "out_file"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, *partition, "out_file"])
+    return spark.read.schema(schema).parquet(path)
+
+
+def reconcile(before: DataFrame, after: DataFrame, partition: dict[str, Column], record: list[str], after_partition: dict[str, Column] | None = None) -> DataFrame:
+    """Per partition: distinct records and unkeyed rows before and after, and rows after; ok says that none is lost or doubled.
+
+    after_partition: the partition of rows that were read back, where it differs. One aggregation over both sides.
+    """
+    side = lambda df, part, tag: df.select(*[c.alias(n) for n, c in part.items()], F.when(F.col(record[0]).isNotNull(), F.struct(*record)).alias("__rec"), F.lit(tag).alias("__after"))
+    x = side(before, partition, 0).unionByName(side(after, after_partition or partition, 1))
+    x = x.groupBy(*partition, "__rec").agg(F.sum(1 - F.col("__after")).alias("__n0"), F.sum("__after").alias("__n1"))
+    keyed, tags = F.col("__rec").isNotNull(), ("before", "after")
+    x = x.groupBy(*partition).agg(*[
+        a for i, t in enumerate(tags) for a in (F.count_if(keyed & (F.col(f"__n{i}") > 0)).alias(f"records_{t}"), F.sum(F.when(~keyed, F.col(f"__n{i}")).otherwise(0)).alias(f"unkeyed_{t}"), F.sum(f"__n{i}").alias(f"rows_{t}"))
+    ])
     ok = (F.col("records_before") == F.col("records_after")) & (F.col("unkeyed_before") == F.col("unkeyed_after")) & (F.col("rows_after") == F.col("records_after") + F.col("unkeyed_after"))
     return x.withColumn("ok", ok)

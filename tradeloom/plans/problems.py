@@ -30,29 +30,42 @@ def _lake_partition() -> dict[str, Column]:
 
 
 _RECORD = ["trade_id", "price", "quantity", "trade_timestamp"]
+#: A target so small that the partitions of the test data have several groups.
+FINE_BYTES = 1024
+
+
+def _p1(spark: SparkSession, d: str, target: int = compaction.TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
+    src = read(spark, d, "stg_market_trades")
+    return src, compaction.plan(src, _lake_partition(), "source_file", _RECORD, SMALL_ROWS, target)
 
 
 def p1_plan(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.plan(read(spark, d, "stg_market_trades"), _lake_partition(), "source_file", _RECORD, SMALL_ROWS)
+    return _p1(spark, d)[1].where("file is not null")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_plan(spark, d).where("action <> 'keep'").select(F.col("file").alias("source_file"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The output files of a plan with a small target: how many files and bytes each takes in."""
+    x = _p1(spark, d, FINE_BYTES)[1].where("action = 'merge'")
+    return x.groupBy("partition_year", "partition_month", "partition_day", "canonical", "out_file").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("n_bytes"), F.min("file").alias("first_file"))
+
+
 def p1_consolidated(spark: SparkSession, d: str) -> DataFrame:
-    """Files and rows of every partition after consolidation."""
-    src, part = read(spark, d, "stg_market_trades"), _lake_partition()
-    x = compaction.consolidated(src, p1_plan(spark, d), part, "source_file", _RECORD)
-    g = x.groupBy("partition_year", "partition_month", "partition_day", canonical_symbol(F.col("symbol")).alias("symbol"))
-    return g.agg(F.countDistinct("out_file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"))
+    """Rows and output files of every partition as read back after the rewrite."""
+    src, planned = _p1(spark, d)
+    x = compaction.rewritten(src, planned, _lake_partition(), "source_file", _RECORD)
+    return x.groupBy("partition_year", "partition_month", "partition_day", F.col("canonical").alias("symbol")).agg(F.countDistinct("out_file").alias("n_files"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def p1_reconciled(spark: SparkSession, d: str) -> DataFrame:
-    """Per partition the counts before and after, compared."""
-    src, part = read(spark, d, "stg_market_trades"), _lake_partition()
-    x = compaction.consolidated(src, p1_plan(spark, d), part, "source_file", _RECORD)
-    return compaction.reconcile(src, x, part, _RECORD)
+    """Per partition the counts before the rewrite and of what is read back, compared."""
+    src, planned = _p1(spark, d)
+    part = _lake_partition()
+    x = compaction.rewritten(src, planned, part, "source_file", _RECORD)
+    return compaction.reconcile(src.where("source_file is not null"), x, part, _RECORD, {n: F.col(n) for n in part})
 
 
 # 2 timestamps
@@ -215,7 +228,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_plan, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
+        p1_found, p1_plan, p1_groups, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
     )
 }
 
@@ -227,17 +240,40 @@ k as (select symbol, trade_id, max(lsn) filter (op = 'w') as w, max(lsn) filter
 _P7 = f"""with t as (select {_CANON} as symbol, trade_id, ingested_at, trade_timestamp, price, row_number() over (partition by {_CANON}, trade_id order by ingested_at, trade_timestamp nulls first, price, quantity) as rn from realtime_raw_trades
   where symbol is not null and trade_id is not null and ingested_at is not null),
 ok as (select *, epoch_us(trade_timestamp) // 60000000 * 60000 as window_start_ms from t where rn = 1 and trade_timestamp is not null and epoch_us(ingested_at) - epoch_us(trade_timestamp) <= 600000000)"""
-_LAKE_SQL = f"""with r as (select partition_year as y, partition_month as m, partition_day as d, {_CANON} as s, source_file as f, trade_id as t, price as p, quantity as q, trade_timestamp as ts from stg_market_trades where source_file is not null),
-man as (select y, m, d, s, f, count(*) as n, count(*) filter (t is null) as bad from r group by all),
+_LAKE_SQL = f"""with r as (select partition_year as y, partition_month as m, partition_day as d, {_CANON} as s, source_file as f, trade_id as t, price as p, quantity as q, trade_timestamp as ts,
+  strlen(symbol) + 8 * ((trade_id is not null)::int + (price is not null)::int + (quantity is not null)::int + (quote_quantity is not null)::int + (trade_timestamp is not null)::int) + (is_buyer_maker is not null)::int + 12 as b from stg_market_trades where source_file is not null),
+man as (select y, m, d, s, f, count(*) as n, count(*) filter (t is null) as bad, cast(sum(b) as bigint) as bytes from r group by all),
 rec as (select distinct y, m, d, s, f, hash(t, p, q, ts) as h from r where t is not null),
 siz as (select y, m, d, s, f, count(*) as k from rec group by all),
 met as (select a.y, a.m, a.d, a.s, a.f, b.f as g, count(*) as k from rec a join rec b on a.y = b.y and a.m = b.m and a.d = b.d and a.s = b.s and a.h = b.h and a.f <> b.f group by all),
-gone as (select distinct met.f from met join siz a on met.f = a.f and met.y = a.y and met.m = a.m and met.d = a.d and met.s = a.s join siz b on met.g = b.f and met.y = b.y and met.m = b.m and met.d = b.d and met.s = b.s
+gone as (select distinct met.y, met.m, met.d, met.s, met.f from met join siz a on met.f = a.f and met.y = a.y and met.m = a.m and met.d = a.d and met.s = a.s join siz b on met.g = b.f and met.y = b.y and met.m = b.m and met.d = b.d and met.s = b.s
   join man ma on ma.f = met.f and ma.bad = 0 join man mb on mb.f = met.g where met.k = a.k and (b.k > a.k or mb.bad > 0 or met.g < met.f)),
 sm as (select y, m, d, s, f, count(*) over (partition by y, m, d, s) as k from man where n < 40)"""
 
+
+def _plan_sql(target: int) -> str:
+    """The grouping said in windows over one partition at a time."""
+    part = "partition by y, m, d, s"
+    return f"""{_LAKE_SQL}, mg as (select man.*, gone.f is not null as gone from man left join gone using (y, m, d, s, f)),
+o as (select *, row_number() over ({part} order by f) - 1 as rank, count(*) over ({part}) as k, coalesce(sum(case when gone then 0 else bytes end) over ({part} order by f rows between unbounded preceding and 1 preceding), 0) as start from mg where n < 40),
+pr as (select *, least(rank // 2, greatest(k // 2, 1) - 1) as pair from o), g as (select *, cast(min(start) over ({part}, pair) // {target} as bigint) as grp from pr), mem as (select *, count(*) over ({part}, grp) as members from g),
+pl as (select mg.*, case when mg.gone then 'drop' when coalesce(mem.members, 0) >= 2 then 'merge' else 'keep' end as action, case when mg.gone then null when coalesce(mem.members, 0) >= 2 then printf('consolidated-%012d', grp) else mg.f end as out_file
+  from mg left join mem using (y, m, d, s, f)),
+kept as (select r.*, pl.out_file from r join pl using (y, m, d, s, f) where pl.action <> 'drop'),
+aft as (select y, m, d, s, min(out_file) as out_file, t from kept where t is not null group by y, m, d, s, t, p, q, ts union all select y, m, d, s, out_file, null from kept where t is null)"""
+
+
+_PART_SQL = "y as partition_year, m as partition_month, d as partition_day, s as canonical"
+
 SQL: dict[str, str] = {
     "p1_found": _LAKE_SQL + " select f as source_file from sm where k >= 2 union select f from gone",
+    "p1_plan": _plan_sql(compaction.TARGET_BYTES) + f" select {_PART_SQL}, f as file, n as rows, bytes, action, out_file from pl",
+    "p1_groups": _plan_sql(FINE_BYTES) + f" select {_PART_SQL}, out_file, count(*) as n_files, cast(sum(bytes) as bigint) as n_bytes, min(f) as first_file from pl where action = 'merge' group by all",
+    "p1_consolidated": _plan_sql(compaction.TARGET_BYTES) + " select y as partition_year, m as partition_month, d as partition_day, s as symbol, count(distinct out_file) as n_files, count(*) as n_rows from aft group by all",
+    "p1_reconciled": _plan_sql(compaction.TARGET_BYTES)
+    + f""", b as (select y, m, d, s, count(distinct row(t, p, q, ts)) filter (t is not null) as records_before, count(*) filter (t is null) as unkeyed_before, count(*) as rows_before from r group by all),
+a as (select y, m, d, s, count(t) as records_after, count(*) filter (t is null) as unkeyed_after, count(*) as rows_after from aft group by all)
+select {_PART_SQL}, records_before, unkeyed_before, rows_before, records_after, unkeyed_after, rows_after, records_before = records_after and unkeyed_before = unkeyed_after as ok from b left join a using (y, m, d, s)""",
     "p3_found": _P3 + " select symbol, trade_id, w as lsn from k where w is not null and (d is null or w > d)",
     "p3_current": _P3
     + """, last as (select ok.symbol, ok.trade_id, ok.lsn, max(payload) as payload from ok join k on ok.symbol = k.symbol and ok.trade_id = k.trade_id and ok.lsn = k.w where op = 'w' and (d is null or w > d) group by all)
