@@ -89,21 +89,27 @@ def p2_undecided(spark: SparkSession, d: str) -> DataFrame:
 # 3 changes
 
 
-def _p3(spark: SparkSession, d: str, columns: dict[str, Column]) -> DataFrame:
+def _p3(spark: SparkSession, d: str, spellings: dict[str, str]) -> DataFrame:
     ev = read(spark, d, "cdc_mutation_events")
     key = {"symbol": F.nullif(canonical_symbol(F.col("symbol")), F.lit("")), "trade_id": F.col("trade_id")}
-    return changes.current_state(ev, key, "lsn", changes.operation(F.col("op_type")), columns)
+    field = lambda n, t: F.get_json_object("payload", f"$.{n}").try_cast(t)
+    cols = {n: field(n, "double") for n in ("price", "quantity", "quote_quantity")} | {"is_buyer_maker": field("is_buyer_maker", "boolean"), "lsn": F.col("lsn")}
+    return changes.current_state(ev, key, "lsn", changes.operation(F.col("op_type"), spellings), cols).drop("__seq")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3(spark, d, {}).select("symbol", "trade_id", F.col("__seq").alias("lsn"))
+    """The keys of the present table with the lsn that its last writer set, a column like the others."""
+    return p3_current(spark, d).select("symbol", "trade_id", "lsn")
 
 
 def p3_current(spark: SparkSession, d: str) -> DataFrame:
     """The table of trades alive, with their columns."""
-    field = lambda n, t: F.get_json_object("payload", f"$.{n}").try_cast(t)
-    cols = {n: field(n, "double") for n in ("price", "quantity", "quote_quantity")} | {"is_buyer_maker": field("is_buyer_maker", "boolean")}
-    return _p3(spark, d, cols).withColumnRenamed("__seq", "lsn")
+    return _p3(spark, d, changes.OPERATIONS)
+
+
+def p3_patched(spark: SparkSession, d: str) -> DataFrame:
+    """The same feed with updates that write only the fields they carry: each column has its own last writer."""
+    return _p3(spark, d, {**changes.OPERATIONS, "update": "patch", "u": "patch"})
 
 
 # 4 repeated messages
@@ -228,13 +234,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_plan, p1_groups, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
+        p1_found, p1_plan, p1_groups, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p3_patched, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
     )
 }
 
 _CANON = r"upper(regexp_replace(symbol, '^[\s]+|[\s]+$', '', 'g'))"
 _OPS = "lower(regexp_replace(op_type, '^[\\s]+|[\\s]+$', '', 'g'))"
-_P3 = f"""with ev as (select {_CANON} as symbol, trade_id, lsn, payload, case when {_OPS} in ('insert','create','c','r','read','update','u') then 'w' when {_OPS} in ('delete','d') then 'd' end as op
+_P3 = f"""with ev as (select {_CANON} as symbol, trade_id, lsn, payload, {_OPS} as spelled, case when {_OPS} in ('insert','create','c','r','read','update','u') then 'w' when {_OPS} in ('delete','d') then 'd' end as op
   from cdc_mutation_events), ok as (select * from ev where op is not null and symbol <> '' and trade_id is not null and lsn is not null),
 k as (select symbol, trade_id, max(lsn) filter (op = 'w') as w, max(lsn) filter (op = 'd') as d from ok group by all)"""
 _P7 = f"""with t as (select {_CANON} as symbol, trade_id, ingested_at, trade_timestamp, price, row_number() over (partition by {_CANON}, trade_id order by ingested_at, trade_timestamp nulls first, price, quantity) as rn from realtime_raw_trades
@@ -279,6 +285,12 @@ select {_PART_SQL}, records_before, unkeyed_before, rows_before, records_after,
     + """, last as (select ok.symbol, ok.trade_id, ok.lsn, max(payload) as payload from ok join k on ok.symbol = k.symbol and ok.trade_id = k.trade_id and ok.lsn = k.w where op = 'w' and (d is null or w > d) group by all)
 select symbol, trade_id, try_cast(json_extract_string(payload, '$.price') as double) as price, try_cast(json_extract_string(payload, '$.quantity') as double) as quantity,
 try_cast(json_extract_string(payload, '$.quote_quantity') as double) as quote_quantity, try_cast(json_extract_string(payload, '$.is_buyer_maker') as boolean) as is_buyer_maker, lsn from last""",
+    "p3_patched": _P3
+    + f""", e2 as (select ok.*, spelled in ('insert','create','c','r','read') as whole from ok), ln as (select symbol, trade_id, max(lsn) filter (whole or op = 'd') as line from e2 group by all),
+s as (select e2.*, try_cast(json_extract_string(payload, '$.price') as double) as p, try_cast(json_extract_string(payload, '$.quantity') as double) as q, try_cast(json_extract_string(payload, '$.quote_quantity') as double) as qq,
+  try_cast(json_extract_string(payload, '$.is_buyer_maker') as boolean) as m from e2 join k using (symbol, trade_id) join ln using (symbol, trade_id) where op = 'w' and (k.d is null or k.w > k.d) and lsn >= coalesce(line, lsn))
+select symbol, trade_id, (max(row(lsn, p)) filter (whole or p is not null))[2] as price, (max(row(lsn, q)) filter (whole or q is not null))[2] as quantity, (max(row(lsn, qq)) filter (whole or qq is not null))[2] as quote_quantity,
+  (max(row(lsn, m)) filter (whole or m is not null))[2] as is_buyer_maker, max(lsn) as lsn from s group by symbol, trade_id""",
     "p7_found": _P7
     + f""", n as (select symbol, window_start_ms, count(*) as n from ok group by all),
 c as (select {_CANON} as symbol, epoch_ms(window_start) as window_start_ms, arg_max(trade_count, emitted_at) as c from realtime_market_candles group by all)
