@@ -37,13 +37,15 @@ def frames(spark, reg, rows):
 def test_exact_candles_and_dead_letters(spark, tmp_path):
     reg = Registry()
     t = lambda s, p, q, m=False: {"trade_timestamp": BASE + s * 1000, "price": p, "quantity": q, "quote_quantity": p * q, "is_buyer_maker": m}
-    df = frames(spark, reg, [t(1, 60000.0, 1.0), t(5, 62000.0, 2.0, True), t(15, 59000.0, 1.0), b"\xee\x00\x00\x00\x01\x11\x22", {"price": -100.0, "trade_timestamp": BASE * 2}, t(66, 100.0, 1.0), t(2, 1.0, 1.0)])
+    good = codec.encode(reg, 2, ROW)
+    # BASE lies 40 s into its minute: four trades fall into it, the fifth opens the next one and closes it for the last
+    df = frames(spark, reg, [t(-30, 8.0, 2.0), t(-3, 7.0, 1.0, True), t(3, 10.0, 4.0, True), good[:-6], t(11, 9.0, 1.0), {"quantity": 0.0, "trade_timestamp": BASE * 3}, t(40, 9.5, 1.0), t(0, 99.0, 1.0)])
     x = pipeline.checked(df, "payload", "seq", reg).cache()
     assert {r["error_code"]: r["n"] for r in dlq.summary(x.where("error_code is not null")).collect()} == {"DESERIALIZATION_FAILURE": 1, "DOMAIN_CONTRACT_VIOLATION": 1}
     candles, late = pipeline.exact_candles(x, "seq")
-    c = candles.where(F.col("window_start_ms") == 1789299960000).first()
-    assert (c["open_price"], c["high_price"], c["low_price"], c["close_price"], c["base_volume"], c["vwap"], c["trade_count"]) == (60000.0, 62000.0, 59000.0, 59000.0, 4.0, 60750.0, 3)
-    assert [r["seq"] for r in late.collect()] == [6]
+    c = candles.where(F.col("window_start_ms") == BASE - 40_000).first()
+    assert (c["open_price"], c["high_price"], c["low_price"], c["close_price"], c["base_volume"], c["vwap"], c["trade_count"], c["taker_buy_ratio"]) == (8.0, 10.0, 7.0, 9.0, 8.0, 9.0, 4, 50.0)
+    assert [r["seq"] for r in late.collect()] == [7]
     letters = dlq.letters(x.where("error_code is not null"), "market.trades", "error_code", "error", "raw")
     dlq.append(letters, str(tmp_path / "dlq"))
     back = dlq.read(spark, str(tmp_path / "dlq"))
@@ -77,16 +79,57 @@ def test_corrected_candles(spark, tmp_path):
     emit = lambda rows, n: sorted((r["window_start_ms"] // 1000 % 86400, r["trade_count"]) for r in c.apply(tape(spark, rows), n).collect())
     assert emit([(1, 0, 1), (2, 30, 31), (3, 70, 71)], 0) == [(0, 2), (60, 1)]
     assert emit([(4, 10, 500), (1, 0, 501), (5, 20, 700), (6, None, 700)], 1) == [(0, 3)]
-    assert emit([(4, 10, 500)], 1) == []
+    assert emit([(4, 10, 500)], 1) == [(0, 3)]  # the last batch again: the same candles
+    assert emit([(4, 10, 500)], 0) == []
     assert emit([(7, 130, 140), (2, 30, 600)], 2) == [(120, 1)]
 
 
+def test_corrected_candles_fail_at_each_step(spark, tmp_path, monkeypatch):
+    """A batch that breaks off anywhere and comes again counts once and loses no candle."""
+    batches = [[(1, 0, 1), (2, 30, 31)], [(3, 20, 90), (1, 0, 95), (4, 70, 96)]]
+    want = sorted((r["window_start_ms"], r["trade_count"]) for r in _fed(spark, pipeline.CorrectedCandles(spark, str(tmp_path / "calm")), batches)[-1].collect())
+    steps = ["rows", "changes", "panes", "candles", "save"]
+    for n, step in enumerate(steps):
+        c = pipeline.CorrectedCandles(spark, str(tmp_path / f"state{n}"))
+        c.apply(tape(spark, batches[0]), 0)
+        with monkeypatch.context() as m:
+            def broken(*args, real=c._write, **kw):
+                if args[1] == step:
+                    raise OSError("lost")
+                return real(*args, **kw)
+
+            m.setattr(c, "_write", broken)
+            if step == "save":
+                m.setattr(c.state, "save", lambda state: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                c.apply(tape(spark, batches[1]), 1)
+        got = [sorted((r["window_start_ms"], r["trade_count"]) for r in c.apply(tape(spark, batches[1]), 1).collect()) for _ in range(2)]
+        assert got == [want, want]
+        assert c.panes().agg(F.sum("trade_count")).first()[0] == 4
+
+
+def _fed(spark, c, batches):
+    return [c.apply(tape(spark, b), n) for n, b in enumerate(batches)]
+
+
+def test_corrected_sliding_and_forgetting(spark, tmp_path):
+    c = pipeline.CorrectedCandles(spark, str(tmp_path / "s"), window_ms=120_000, slide_ms=60_000, allowed_ms=60_000, stretch_ms=120_000, most_seen=2)
+    rows = [[(1, 5, 6)], [(2, 65, 66)], [(3, 130, 131), (9, 400, 135)], [(2, 65, 100), (4, 110, 140)], [(9, 400, 420), (5, 3000, 3001)], [(5, 3000, 3005)]]
+    out = _fed(spark, c, rows)
+    # a late trade re-emits the two windows over its pane and no other
+    assert sorted(r["window_start_ms"] // 60_000 % 1440 for r in out[3].collect()) == [0, 1]
+    assert c.panes().agg(F.sum("trade_count")).first()[0] == 6
+    assert out[5].count() == 0 and len(c.state.load()["seen"]) <= 2
+    with pytest.raises(Conflict):
+        c.state.save({"version": 1})
+
+
 def test_corrected_stream(spark, tmp_path):
     tape(spark, [(1, 0, 1), (2, 30, 31)]).write.parquet(str(tmp_path / "in"))
     c = pipeline.CorrectedCandles(spark, str(tmp_path / "state"))
     src = spark.readStream.schema(tape(spark, []).schema).parquet(str(tmp_path / "in"))
     c.start(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [r["trade_count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+    assert [(r["trade_count"], r["emitted_by"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, 0)]
 
 
 def test_snapshot_table(spark, tmp_path):
@@ -94,26 +137,26 @@ def test_snapshot_table(spark, tmp_path):
     assert t.read().count() == 0 and t.version() == 0
     ev = lambda rows: spark.createDataFrame([(*r, 1.0, 1.0, None, True) for r in rows], "seq long, op string, symbol string, trade_id long, price double, quantity double, quote_quantity double, trade_timestamp timestamp, is_buyer_maker boolean")
     key = ["symbol", "trade_id"]
-    one = t.apply_changes(ev([(1, "insert", "BTC", 101, 60000.0), (2, "insert", "ETH", 102, 3000.0)]), key, "seq", "op")
-    assert one["total"] == 2 and one["added"] == 2
-    t.apply_changes(ev([(3, "update", "BTC", 101, 65500.0)]), key, "seq", "op")
-    three = t.apply_changes(ev([(4, "delete", "ETH", 102, 0.0)]), key, "seq", "op")
-    assert (three["total"], three["deleted"]) == (1, 1)
-    assert {r["trade_id"]: r["price"] for r in t.read(1).collect()} == {101: 60000.0, 102: 3000.0}
-    assert {r["trade_id"]: r["price"] for r in t.read().collect()} == {101: 65500.0}
+    one = t.apply_changes(ev([(11, "insert", "X", 4, 2.5), (12, "insert", "Y", 4, 7.0), (13, "insert", "Y", 5, 8.0)]), key, "seq", "op")
+    assert one["total"] == 3 and one["added"] == 3
+    t.apply_changes(ev([(14, "update", "Y", 4, 7.75)]), key, "seq", "op")
+    three = t.apply_changes(ev([(15, "delete", "Y", 5, 0.0), (16, "insert", "Z", 1, 1.0)]), key, "seq", "op")
+    assert (three["total"], three["deleted"], three["added"]) == (3, 1, 1)
+    state = lambda *v: {(r["symbol"], r["trade_id"]): r["price"] for r in t.read(*v).collect()}
+    assert state(1) == {("X", 4): 2.5, ("Y", 4): 7.0, ("Y", 5): 8.0} and state() == {("X", 4): 2.5, ("Y", 4): 7.75, ("Z", 1): 1.0}
     assert t.apply_changes(ev([]), key, "seq", "op") == {"status": "SKIPPED"}
-    for _ in range(9):
-        t.append(t.read(1).limit(1))
-    assert t.version() == 12 and t.read().count() == 10
-    assert [r[0] for r in t.history().collect()] == list(range(12, 0, -1))
-    assert t.expired(2**50) == list(range(1, 12))
+    for _ in range(8):
+        t.append(t.read(1).where("symbol = 'X'"))
+    assert t.version() == 11 and t.read().count() == 11
+    assert [r[0] for r in t.history().collect()] == list(range(11, 0, -1))
+    assert t.expired(2**50) == list(range(1, 11))
     with pytest.raises(ValueError):
         t.read(99)
     stale = t.metadata() | {"version": 5}
     with pytest.raises(Conflict):
         t._commit(stale, {"snapshot_id": 6, "timestamp_ms": 0, "paths": [], "summary": {"operation": "x"}})
     semantic.register(spark, t)
-    assert semantic.query_view(spark, "v_lakehouse_snapshots").count() == 12
+    assert semantic.query_view(spark, "v_lakehouse_snapshots").count() == 11
     with pytest.raises(ValueError):
         semantic.query_view(spark, "x; drop")
 

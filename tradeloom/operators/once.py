@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.session import scratch
+from tradeloom.session import scratch, written
 
 #: Words of 64 bits in a slice of a filter, and identities that a slice takes before its bucket gets another.
 WORDS, FILL = 4096, 16384
 #: Words of the filter over all earlier buckets together, which is asked first.
 ALL_WORDS = 1 << 18
 
+#: Marked identities (12 bytes each) up to which they are sent to every executor; more are joined by a shuffle.
+SMALL_ROWS = 2_000_000
+
 
 class Filters:
     """Register-blocked Bloom filters: an identity has four bits in one 64-bit word. A bucket may have several slices."""
@@ -139,8 +142,11 @@ def repeated_messages(messages: DataFrame, key: list[str], bucket: Column) -> Da
     """
     store = storage(messages, key, bucket)
     marked = store.where(F.col("__in").isNotNull())
-    maybe = marked.select("__h", F.explode(F.array_union("__in", F.array("__bucket"))).alias("__bucket")).distinct()
-    buckets = sorted(r[0] for r in maybe.select("__bucket").distinct().collect())
+    maybe = written(marked.select("__h", F.explode(F.array_union("__in", F.array("__bucket"))).alias("__bucket")).distinct(), "marked")
+    count = {r[0]: r[1] for r in maybe.groupBy("__bucket").agg(F.count(F.lit(1))).collect()}
+    buckets = sorted(count)
+    if sum(count.values()) <= SMALL_ROWS:
+        maybe = F.broadcast(maybe)
     met = store.where(F.col("__bucket").isin(buckets)).join(maybe, ["__bucket", "__h"], "left_semi")
     return met.groupBy(*key).agg(F.sum("__copies").alias("__n")).where("__n > 1").select(*key)
 

@@ -88,6 +88,12 @@ def affected_windows(changed: DataFrame, by: list[str], window_ms: int, slide_ms
     return windows_over(changed.select(*by, "pane_start_ms").distinct(), window_ms, slide_ms).select(*by, "window_start_ms").distinct()
 
 
+def panes_under(windows: DataFrame, by: list[str], window_ms: int, slide_ms: int | None = None) -> DataFrame:
+    """(by, pane_start_ms) of the panes that windows (by, window_start_ms) are composed of."""
+    pane = pane_ms(window_ms, slide_ms)
+    return windows.select(*by, F.explode(F.sequence(F.col("window_start_ms"), F.col("window_start_ms") + window_ms - pane, F.lit(pane).cast("long"))).alias("pane_start_ms")).distinct()
+
+
 def latest_emission(candles: DataFrame, by: dict[str, Column], start_ms: Column, emitted: Column, count: Column) -> DataFrame:
     """(by, window_start_ms, emitted_count): the candle emitted last; the greater count breaks a tie."""
     x = candles.select(*[c.alias(n) for n, c in by.items()], start_ms.alias("window_start_ms"), F.struct(emitted.alias("e"), count.alias("n")).alias("__r")).where("window_start_ms is not null")

@@ -31,8 +31,8 @@ def stream_frames(registry: Registry, total: int = 150, late: int = 10, poison:
         row = {"trade_id": i + 1, "symbol": ("BTCUSDT", "ETHUSDT", "SOLUSDT")[i % 3], "price": round(100 + rng.random() * 10, 2), "quantity": round(0.1 + rng.random(), 4), "quote_quantity": 0.0, "trade_timestamp": start_ms + i * 300 - back, "is_buyer_maker": i % 2 == 0, "trade_type": "LIMIT"}
         row["quote_quantity"] = row["price"] * row["quantity"]
         out.append(encode(registry, 1 + i % 2, row))
-    good = encode(registry, 1, {"trade_id": 1, "symbol": "BTCUSDT", "price": -12500.0, "quantity": 1.0, "quote_quantity": 1.0, "trade_timestamp": start_ms, "is_buyer_maker": False})
-    bad = [b"\xee" + good[1:], b"\x00\x00\x00\x27\x0f" + good[5:], good[:3], good, good[:7]]
+    good = encode(registry, 1, {"trade_id": 1, "symbol": "BTCUSDT", "price": -1.0, "quantity": 1.0, "quote_quantity": 1.0, "trade_timestamp": start_ms, "is_buyer_maker": False})
+    bad = [b"\x01" + good[1:], b"\x00\x7f\xff\xff\xff" + good[5:], good[:3], good, good[:7]]
     for k in range(poison):
         out.insert((k + 1) * max(1, total // (poison + 1)), bad[k % len(bad)])
     return out
