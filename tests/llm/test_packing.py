@@ -39,14 +39,14 @@ def test_bin_completion():
     over = 0
     for _ in range(60):
         sizes = [r.randint(5, 60) for _ in range(r.randint(0, 9))]
-        bins = packing.complete(sizes, 100)
+        bins = packing.complete(sizes, 100).bins
         assert sorted(itertools.chain(*bins)) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
         assert len(bins) <= len(packing.best_fit(sizes, 100))
         over += len(bins) - optimum(sizes, 100)
     assert over <= 1
     # best fit needs three containers here
-    assert len(packing.complete([6, 5, 4, 3, 2], 10)) == 2
-    assert packing.complete([], 10) == []
+    assert len(packing.complete([6, 5, 4, 3, 2], 10).bins) == 2
+    assert packing.complete([], 10).bins == []
 
 
 def test_tokens_are_those_of_the_plain_encoder():
@@ -76,3 +76,47 @@ def test_containers(spark):
         if n <= 128 and sum(d == i for d, _ in data) == 1:
             assert [g["tokens"] for g in got if g["doc_id"] == i] == [n]
     assert packing.fill_containers(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_search_reaches_the_optimum():
+    for seed in range(40):
+        r = random.Random(seed)
+        sizes = [r.randint(15, 60) for _ in range(r.randint(5, 12))]
+        got = packing.complete(sizes, 100)
+        assert len(got.bins) == optimum(sizes, 100) >= got.bound and not got.stopped
+        assert sorted(sum(got.bins, [])) == sorted(sizes) and max(map(sum, got.bins)) <= 100
+
+
+def test_search_beats_best_fit():
+    better = 0
+    for seed in range(20):
+        r, sizes = random.Random(seed), []
+        for _ in range(10):  # ten containers that can be filled to the brim
+            a, b = r.randint(26, 40), r.randint(20, 35)
+            sizes += [a, b, 100 - a - b]
+        got = packing.complete(sizes, 100, 20_000)
+        better += len(got.bins) == 10 < got.best_fit
+    assert better >= 12
+
+
+def test_bounds_and_stops():
+    assert packing.lower_bound([60, 60, 60, 50, 50], 100) == 4
+    assert packing.lower_bound([], 100) == 0
+    r = random.Random(2)
+    hard = [r.randint(260, 420) for _ in range(60)]
+    got = packing.complete(hard, 1000, nodes=5)
+    assert got.stopped == (len(got.bins) > got.bound)
+
+
+def test_fillings_are_undominated_and_complete():
+    import itertools
+
+    r = random.Random(5)
+    for _ in range(20):
+        items = sorted(r.randint(3, 20) for _ in range(8))
+        count = {s: items.count(s) for s in items}
+        got = [f for _, f in packing.fillings(sorted(count), count, 30, packing._Budget(10**6))]
+        assert len(got) == len(set(got)) and all(sum(f) <= 30 for f in got)
+        # every feasible filling is matched or beaten by one of those made
+        most = max(sum(c) for n in range(9) for c in itertools.combinations(items, n) if sum(c) <= 30)
+        assert max(map(sum, got)) == most

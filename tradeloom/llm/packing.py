@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import bisect
-import math
+import itertools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,10 @@ from tradeloom.session import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 4096
 CELL_TOKENS = 4_000_000
-#: Fillings tried in a cell before the best packing so far is taken (it is the optimum wherever it meets the waste bound).
+#: Fillings looked at in a cell, beside one per item, before the best packing so far is taken; the only limit of the search.
 NODES = 4000
+#: Fillings that are made ahead to try those of less waste first.
+AHEAD = 16
 #: Splitting pattern of byte-level BPE as published with it.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A lone line feed between other signs is always a token of its own, so the parts around it can be counted apart.
@@ -90,122 +94,169 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(sizes: list[int], count: dict[int, int], room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the multiset, least waste first.
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers that no packing can do without: the best of the waste bounds over all thresholds.
 
-    A filling is dominated if one of its items (or a pair) can be exchanged for a larger item that still fits, so each
-    begins with a large item and is completed by the largest that fit; ``sizes`` are the distinct sizes, ascending.
+    For a threshold k, items above capacity - k can't share with items of k or more; those above half a container need one
+    each, and what of the items from k to half a container doesn't fit beside them needs more.
     """
-    out: dict[tuple[int, ...], int] = {}
-    top = bisect.bisect_right(sizes, room)
-    for a in range(top - 1, max(-1, top - 1 - most), -1):
-        used, left, got = {}, room, []
-        i = a
-        while i >= 0:
+    x = np.sort(np.asarray(sizes, dtype=np.int64))
+    if not len(x):
+        return 0
+    total = np.r_[0, np.cumsum(x)]
+    half = int(np.searchsorted(x, capacity // 2, side="right"))  # from here on more than half a container
+    k = np.unique(np.r_[1, x[:half]])
+    alone = np.searchsorted(x, capacity - k, side="right")
+    alone = np.maximum(alone, half)
+    beside = (alone - half) * capacity - (total[alone] - total[half])
+    middle = total[half] - total[np.searchsorted(x[:half], k, side="left")]
+    return int((len(x) - half + np.maximum(0, -(-(middle - beside) // capacity))).max())
+
+
+class _Budget:
+    """Fillings that may still be looked at."""
+
+    def __init__(self, nodes: int) -> None:
+        self.left = nodes
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(sizes: list[int], count: dict[int, int], room: int, budget: _Budget) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, items) of the undominated fillings of ``room`` from a multiset, one after another, larger items first.
+
+    ``sizes`` are the distinct sizes, ascending. A filling is dominated, and left out, if an item that is left over still
+    fits, or may take the place of one of its items, or of two or three together, without overflowing and without being
+    smaller. Nothing else is left out; the iteration ends early only if the budget is spent.
+    """
+
+    def spare(lo: int, hi: int, used: dict[int, int]) -> bool:
+        """Is an item of a size from lo to hi left over?"""
+        for i in range(bisect.bisect_left(sizes, lo), bisect.bisect_right(sizes, hi)):
+            if count[sizes[i]] > used.get(sizes[i], 0):
+                return True
+        return False
+
+    def dominated(got: list[int], left: int, used: dict[int, int]) -> bool:
+        if left and spare(1, left, used):
+            return True
+        if left and any(spare(s + 1, s + left, used) for s in used):
+            return True
+        if len(got) <= 12:
+            sums = {sum(c) for n in (2, 3) for c in itertools.combinations(got, n)}
+            return any(spare(s, s + left, used) for s in sums)
+        return False
+
+    # depth first: at each step the item taken last and where to go on if it is taken back
+    got: list[int] = []
+    used: dict[int, int] = {}
+    left, i = room, bisect.bisect_right(sizes, room) - 1
+    while True:
+        i = min(i, bisect.bisect_right(sizes, left) - 1)
+        while i >= 0 and count[sizes[i]] <= used.get(sizes[i], 0):
+            i -= 1
+        if i >= 0:
             s = sizes[i]
-            if s <= left and used.get(s, 0) < count[s]:
-                # before the last places, a pair that fits exactly beats the greedy choice
-                if left - s and got and (pair := _exact(sizes, count, used, left)):
-                    got += pair
-                    left = 0
-                    break
-                got.append(s)
-                used[s] = used.get(s, 0) + 1
-                left -= s
-                i = min(i, bisect.bisect_right(sizes, left) - 1)
-            else:
-                i -= 1
-        out[tuple(got)] = left
-        if not left:
-            break
-    return [f for f, _ in sorted(out.items(), key=lambda x: (x[1], [-s for s in x[0]]))]
-
-
-def _exact(sizes: list[int], count: dict[int, int], used: dict[int, int], left: int) -> list[int] | None:
-    """One or two open items that together are exactly ``left``."""
-    free = lambda s: count.get(s, 0) - used.get(s, 0)
-    if free(left) > 0:
-        return [left]
-    hi = bisect.bisect_right(sizes, left) - 1
-    for i in range(hi, max(-1, hi - 40), -1):
-        a = sizes[i]
-        b = left - a
-        if b > a:
-            break
-        if b and free(a) > 0 and free(b) > (1 if a == b else 0):
-            return [a, b]
-    return None
-
-
-def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Packing of sizes (1 to capacity) into containers by bin completion, at least as good as best-fit decreasing."""
+            got.append(s)
+            used[s] = used.get(s, 0) + 1
+            left -= s
+            continue
+        if not budget.spend():
+            return
+        if not dominated(got, left, used):
+            yield left, tuple(got)
+        # take back the last item, and go on with smaller ones in its place
+        if not got:
+            return
+        s = got.pop()
+        left += s
+        used[s] -= 1
+        if not used[s]:
+            del used[s]
+        i = bisect.bisect_left(sizes, s) - 1
+
+
+@dataclass
+class Packing:
+    bins: list[list[int]]
+    bound: int
+    best_fit: int
+    #: The search ended because its budget was spent, so a better packing may exist.
+    stopped: bool
+
+
+def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> Packing:
+    """Packing of sizes (1 to capacity) by bin completion, at least as good as best-fit decreasing.
+
+    The largest open item is placed with each undominated filling of the rest of its container; a branch ends where its
+    waste leaves no better packing. Without a stop the packing is the best there is.
+    """
     best = best_fit(sizes, capacity)
+    out = Packing(best, lower_bound(sizes, capacity), len(best), False)
     total = sum(sizes)
-    least = max(math.ceil(total / capacity), sum(1 for s in sizes if 2 * s > capacity))
-    if len(best) <= least:
-        return best
+    if len(best) <= out.bound:
+        return out
     count: dict[int, int] = {}
     for s in sizes:
         count[s] = count.get(s, 0) + 1
     distinct = sorted(count)
-    tried = 0
-    # depth first with an explicit stack: each level holds its container and the fillings still to try
-    stack: list[tuple[list[int], list[tuple[int, ...]]]] = []
-    wasted = [0]
+    budget = _Budget(nodes + len(sizes))
 
-    def take(items: list[int]) -> None:
+    def take(items: tuple[int, ...] | list[int]) -> None:
         for s in items:
             count[s] -= 1
             if not count[s]:
                 del count[s]
                 distinct.pop(bisect.bisect_left(distinct, s))
 
-    def give(items: list[int]) -> None:
+    def give(items: tuple[int, ...] | list[int]) -> None:
         for s in items:
             if s not in count:
                 count[s] = 0
                 bisect.insort(distinct, s)
             count[s] += 1
 
-    def descend() -> None:
+    def options() -> Iterator[tuple[int, list[int]]]:
+        """Fillings around the largest open item, those of less waste first among each few that are made."""
         first = distinct[-1]
         take([first])
-        stack.append(([first], _fillings(distinct, count, capacity - first) or [()]))
+        own, many = list(distinct), dict(count)
         give([first])
-
-    descend()
-    placed: list[list[int]] = []
-    while stack and tried < nodes + len(sizes):
-        head, options = stack[-1]
-        if len(placed) == len(stack):  # back at this level: undo its container
+        made = fillings(own, many, capacity - first, budget)
+        while part := list(itertools.islice(made, AHEAD)):
+            for waste, items in sorted(part, key=lambda x: x[0]):
+                yield waste, [first, *items]
+
+    levels, placed, wasted = [options()], [], [0]
+    while levels:
+        if len(placed) == len(levels):  # back at this level: undo its container
             give(placed.pop())
             wasted.pop()
-        if not options:
-            stack.pop()
+        step = next(levels[-1], None)
+        if step is None:
+            levels.pop()
             continue
-        tried += 1
-        items = [*head, *options.pop(0)]
-        waste = wasted[-1] + capacity - sum(items)
+        waste, items = step
         # with one container less than the best so far, this much space may stay empty at most
-        if waste > (len(best) - 1) * capacity - total:
-            if not placed and not options:
-                break
-            options.clear()  # fillings are in order of waste: the others are no better
+        if wasted[-1] + waste > (len(out.bins) - 1) * capacity - total:
             continue
         take(items)
         placed.append(items)
-        wasted.append(waste)
-        if not count:
-            best = [list(b) for b in placed]
-            if len(best) <= least:
-                break
+        wasted.append(wasted[-1] + waste)
+        if count:
+            levels.append(options())
             continue
-        descend()
-    return best
+        out.bins = [list(b) for b in placed]
+        if len(out.bins) <= out.bound:
+            return out
+    out.stopped = budget.left < 0
+    return out
 
 
 def _pack(frame: pd.DataFrame, capacity: int, nodes: int) -> pd.DataFrame:
-    """Rows (doc, piece, tokens, cell) with their container inside the cell."""
+    """Rows (doc, piece, tokens, cell) with their container, and of their cell the bound, the best fit and whether it was stopped."""
     frame = frame.sort_values(["tokens", "doc", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
     waiting: dict[int, list[int]] = {}
     for i, t in enumerate(frame["tokens"].tolist()):
@@ -213,23 +264,18 @@ def _pack(frame: pd.DataFrame, capacity: int, nodes: int) -> pd.DataFrame:
     empty = waiting.pop(0, [])
     box = [0] * len(frame)
     packed = complete([t for t, w in waiting.items() for _ in w], capacity, nodes)
-    for b, items in enumerate(packed):
+    for b, items in enumerate(packed.bins):
         for s in items:
             box[waiting[s].pop()] = b
     out = frame[["doc", "piece", "tokens"]].copy()
     for i in empty:  # a document without tokens takes no space
         box[i] = 0
     out.insert(0, "container", [int(frame["cell"].iloc[0]) * (1 << 24) + b for b in box])
-    return out
+    return out.assign(cell=int(frame["cell"].iloc[0]), bound=packed.bound, best_fit=packed.best_fit, stopped=packed.stopped)
 
 
-def fill_containers(docs: DataFrame, ident: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, cell_tokens: int = CELL_TOKENS, nodes: int = NODES) -> DataFrame:
-    """(container_id, ident, piece, first_token, tokens): every row of docs once, split only above the capacity.
-
-    A larger document is cut into full pieces and a rest; the rest is packed like any other. Null and empty texts have no
-    tokens and go with the first container of a cell. Repeated rows are packed each; a null ident is kept. Cells are dealt
-    by row, so many rows under one ident don't meet in one task. No document gives no rows.
-    """
+def packed(docs: DataFrame, ident: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, cell_tokens: int = CELL_TOKENS, nodes: int = NODES) -> DataFrame:
+    """(container, doc, piece, tokens, cell, bound, best_fit, stopped) of every piece; see ``fill_containers``."""
     sizes = written(token_counts(docs, ident, text, tokenizer), "token-counts")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     cells = max(1, round(total / cell_tokens))
@@ -238,5 +284,26 @@ def fill_containers(docs: DataFrame, ident: str, text: str, capacity: int = CAPA
     x = x.select("doc", "cell", F.col("tokens").alias("all"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     x = x.select("doc", "cell", F.col("piece").cast("int").alias("piece"), F.least(F.col("all") - F.col("piece") * capacity, F.lit(capacity)).alias("tokens"))
     kind = sizes.schema[ident].dataType.simpleString()
-    y = x.groupBy("cell").applyInPandas(lambda f: _pack(f, capacity, nodes), f"container long, doc {kind}, piece int, tokens long")
+    return x.groupBy("cell").applyInPandas(lambda f: _pack(f, capacity, nodes), f"container long, doc {kind}, piece int, tokens long, cell long, bound long, best_fit long, stopped boolean")
+
+
+def usage(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row about what ``packed`` gave: containers, the fullest, the share used, the cells, their bounds and best fits
+    together, and how many cells were stopped before their packing was known to be the best."""
+    boxes = pieces.groupBy("cell", "container").agg(F.sum("tokens").alias("tokens"), *[F.max(c).alias(c) for c in ("bound", "best_fit", "stopped")])
+    cells = boxes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("tokens").alias("fullest"), F.sum("tokens").alias("tokens"), *[F.max(c).alias(c) for c in ("bound", "best_fit", "stopped")])
+    return cells.agg(
+        F.sum("n").alias("n_containers"), F.max("fullest").alias("fullest"), (F.sum("tokens") / (F.sum("n") * capacity)).alias("used"), F.count(F.lit(1)).alias("n_cells"),
+        F.sum("bound").alias("n_bound"), F.sum("best_fit").alias("n_best_fit"), F.count_if("stopped").alias("n_stopped"),
+    )
+
+
+def fill_containers(docs: DataFrame, ident: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, cell_tokens: int = CELL_TOKENS, nodes: int = NODES) -> DataFrame:
+    """(container_id, ident, piece, first_token, tokens): every row of docs once, split only above the capacity.
+
+    A larger document is cut into full pieces and a rest; the rest is packed like any other. Null and empty texts have no
+    tokens and go with the first container of a cell. Repeated rows are packed each; a null ident is kept. Cells are dealt
+    by row, so many rows under one ident don't meet in one task. No document gives no rows.
+    """
+    y = packed(docs, ident, text, capacity, tokenizer, cell_tokens, nodes)
     return y.select(F.col("container").alias("container_id"), F.col("doc").alias(ident), "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), "tokens")
