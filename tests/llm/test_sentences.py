@@ -94,7 +94,7 @@ def test_trained_from_documents(spark):
     r = random.Random(3)
     docs = [(i, "\n".join(t for t, _ in lines(r, made, " ", 4))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    m = sentences.train(df, "text")
+    m = sentences.train(df, "doc_id", "text")
     assert accuracy(m, lines(r, made, " ", 200)) > 0.93
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sentences.split_sentences(empty, "doc_id", "text").count() == 0

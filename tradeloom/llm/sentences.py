@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines the model is fitted on, the longest line that is taken for it, and the documents they are drawn from.
 TRAIN_LINES, TRAIN_CHARS, TRAIN_ROWS = 16_000, 4_000, 8_000
+#: Bytes of the lines that the model is fitted on, at most.
+TRAIN_BYTES = 12 << 20
 #: Quotients lie near 0 or 1; this is the valley between them.
 CUT = 0.32
 #: A line with one of these first is no prose.
@@ -125,7 +127,8 @@ def _candidates(m: str) -> Iterator[tuple[int, int, int, str, str]]:
 
 
 def _starts_small(m: str, at: int) -> bool:
-    """What follows begins with a small letter, so no sentence can begin there."""
+    """What follows begins with a small letter, so no sentence can begin there. (As a feature among the others it made the model
+    worse: 1.4 % of the sentences changed, among them every "Mrs." before a name.)"""
     while at < len(m) and m[at] in "\x01\x02":
         at += 1
     return at < len(m) and m[at].islower()
@@ -247,22 +250,26 @@ def fit(lines: list[tuple[str, str]], epochs: int = 10, rate: float = 0.3, l2: f
     return Model({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}, share)
 
 
-def train(docs: DataFrame, text: str, lines: int = TRAIN_LINES, chars: int = TRAIN_CHARS, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``lines`` distinct prose lines of a random sample of about ``rows`` documents; lines longer than ``chars`` stay out of it.
+def train(docs: DataFrame, ident: str, text: str, lines: int = TRAIN_LINES, chars: int = TRAIN_CHARS, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``lines`` distinct prose lines, ``most_bytes`` together, of about ``rows`` documents; lines longer than ``chars`` stay out of it.
 
-    The sample's share is its size over the number of rows, so what is gathered doesn't grow with the corpus, and a text that
-    stands a million times is drawn no more often than its share.
+    Documents are drawn by a hash of identifier and text, so the same corpus gives the same model however its files lie. The
+    share is ``rows`` over the number of rows (which Parquet tells from its footers), so what is gathered doesn't grow with
+    the corpus; what comes to the driver is bounded by ``most_bytes``.
     """
     n = docs.count()
-    some = docs if n <= rows else docs.sample(rows / n, seed=11)
+    part = 1 << 30
+    some = docs if n <= rows else docs.where(F.pmod(F.xxhash64(ident, text), F.lit(part)) < max(1, int(rows / n * part)))
     prose = F.filter(F.split(F.col(text), "\n"), lambda x: (F.length(F.trim(x)) > 1) & ~F.substring(x, 1, 1).isin(list(NOT_PROSE)))
     x = some.select(prose.alias("l")).where(F.size("l") > 0)
     # the line after it, for the last one the first: how another sentence of the document begins
     after = F.concat(F.slice("l", 2, F.size("l")), F.slice("l", 1, 1))
     x = x.select(F.explode(F.arrays_zip(F.col("l").alias("a"), F.transform(after, lambda y: F.substring(y, 1, 200)).alias("b"))).alias("p"))
     x = x.select(F.xxhash64("p.a").alias("h"), F.col("p.a").alias("a"), F.col("p.b").alias("b")).where(F.length("a") <= chars)
-    got = x.groupBy("h").agg(F.min(F.struct("a", "b")).alias("p")).orderBy("h").limit(lines)
-    return fit([(r[0], r[1]) for r in got.select("p.a", "p.b").collect()])
+    got = x.groupBy("h").agg(F.min(F.struct("a", "b")).alias("p")).orderBy("h").limit(lines).select("h", "p.a", "p.b")
+    # a window over at most ``lines`` rows
+    sofar = F.sum(F.octet_length("a") + F.octet_length("b")).over(Window.orderBy("h"))
+    return fit([(r[0], r[1]) for r in got.withColumn("s", sofar).where(F.col("s") <= most_bytes).select("a", "b").collect()])
 
 
 def split_sentences(docs: DataFrame, ident: str, text: str, model: Model | None = None) -> DataFrame:
@@ -271,7 +278,7 @@ def split_sentences(docs: DataFrame, ident: str, text: str, model: Model | None
     A null or empty text, or one without prose, has none. Repeated rows give their sentences each. A line without a
     terminator is one sentence. Columns of docs other than ident and text are not read.
     """
-    model = model or train(docs, text)
+    model = model or train(docs, ident, text)
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
