@@ -93,3 +93,13 @@ def test_assignment_is_optimal(seed):
     value = lambda a: sum(cost[i][j] if j >= 0 else alone for i, j in enumerate(a)) + alone * (m - sum(j >= 0 for j in a))
     best = min(value(p[:n]) for p in set(permutations([*range(m), *[-1] * n])) if len([x for x in p[:n] if x >= 0]) == len({x for x in p[:n] if x >= 0}))
     assert value(drift.assign(cost, alone, alone)) == pytest.approx(best)
+
+
+def test_deep_and_odd_bodies(spark):
+    deep = {"x": 1}
+    for _ in range(60):
+        deep = {"d": deep}
+    rows = [(1, json.dumps({**deep, "a": [1, {"b": 2.50}], "e": {}, "n": None})), (2, "[1]"), (3, "{broken"), (4, None), (5, ""), (6, '{"a": NaN}'), (7, '{"a": 1e400, "b": "2024-02-30T10:00:00"}')]
+    got = {(r["id"], r["path"]): (r["type"], r["text"]) for r in drift.leaves(spark.createDataFrame(rows, "id int, body string"), ["id"], "body").collect()}
+    assert got == {(1, "d." * 60 + "x"): ("number", "1"), (1, "a"): ("array", '[1,{"b":2.5}]'), (1, "n"): ("null", None), (7, "a"): ("number", "1e400"), (7, "b"): ("string", "2024-02-30T10:00:00")}
+    assert drift.file_changes(spark.createDataFrame([], "s string, q int, f long, body string"), "s", "q", "f", "body").count() == 0

@@ -61,12 +61,12 @@ def test_running_max_and_previous(spark, block):
     for i, _, v in data:
         top = v if top is None else top if v is None else max(top, v)
         want[i] = top
-    assert {x["seq"]: x["m"] for x in blocks.running_max(df, "seq", F.col("v"), "m", block).collect()} == want
+    assert {x["seq"]: x["m"] for x in blocks.running_max(df, "seq", F.col("v"), "m").collect()} == want
     before, wantp = {}, {}
     for i, k, v in data:
         wantp[i] = before.get(k)
         before[k] = v
-    assert {x["seq"]: x["p"] for x in blocks.previous_in_key(df, ["k"], "seq", "v", "p", block).collect()} == wantp
+    assert {x["seq"]: x["p"] for x in blocks.previous_in_key(df, ["k"], "seq", "v", "p").collect()} == wantp
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_000_000
+from tradeloom.session import written
 
 
-def running_max(df: DataFrame, seq: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+def _ranged(df: DataFrame, by: list[str]) -> DataFrame:
+    """df written in ranges of ``by`` of like size, with the number of its range as __b. Written, since the bounds of ranges are
+    drawn anew each time a plan runs."""
+    return written(df.repartitionByRange(*[F.col(c) for c in by]).withColumn("__b", F.spark_partition_id()), "ranges")
+
+
+def running_max(df: DataFrame, seq: str, value: Column, out: str) -> DataFrame:
     """df with the greatest value up to each row in order of seq (this row included; nulls don't count).
 
-    Two levels: a window inside blocks of seq, and the maximum of the blocks before, of which there are rows / block.
-    Rows with a null seq come first. Equal seq: rows see each other's values.
+    Two levels: a window inside ranges of rows, and the maximum of the ranges before, of which there are as many as
+    shuffle partitions however sparse seq is. Rows with a null seq come first. Equal seq: rows see each other's values (they
+    lie in one range).
     """
-    b = F.coalesce(F.floor(F.col(seq) / block), F.lit(-(2**62))).cast("long")
-    x = df.withColumns({"__b": b, "__v": value})
+    x = _ranged(df.withColumn("__v", value), [seq])
     tops = x.groupBy("__b").agg(F.max("__v").alias("__m"))
     tops = tops.select("__b", F.max("__m").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     w = Window.partitionBy("__b").orderBy(seq).rangeBetween(Window.unboundedPreceding, 0)
@@ -23,12 +29,13 @@ def running_max(df: DataFrame, seq: str, value: Column, out: str, block: int = B
     return x.withColumn(out, F.greatest("__in", "__before")).drop("__b", "__v", "__in", "__before")
 
 
-def previous_in_key(df: DataFrame, key: list[str], seq: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """df with the value of the row before in its key by seq (null for the first), hot keys split by blocks of seq."""
-    x = df.withColumn("__b", F.floor(F.col(seq) / block).cast("long"))
-    last = x.groupBy(*key, "__b").agg(F.max_by(value, seq).alias("__l"))
+def previous_in_key(df: DataFrame, key: list[str], seq: str, value: str, out: str, ties: list[str] = ()) -> DataFrame:
+    """df with the value of the row before in its key by seq and ties (null for the first), hot keys split into ranges of rows."""
+    order = [seq, *ties]
+    x = _ranged(df, [*key, *order])
+    last = x.groupBy(*key, "__b").agg(F.max_by(value, F.struct(*order)).alias("__l"))
     last = last.select(*key, "__b", F.lag("__l").over(Window.partitionBy(*key).orderBy("__b")).alias("__before"))
-    w = Window.partitionBy(*key, "__b").orderBy(seq)
+    w = Window.partitionBy(*key, "__b").orderBy(*order)
     x = x.withColumns({"__p": F.lag(value).over(w), "__n": F.row_number().over(w)}).join(last, [*key, "__b"], "left")
     return x.withColumn(out, F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__p"))).drop("__b", "__p", "__n", "__before")
 

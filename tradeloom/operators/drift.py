@@ -9,63 +9,156 @@ compiled to projections: which field of which files fills which column.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.operators import blocks
+from tradeloom.session import written
+
 #: A rename costs its content distance (0 to 1); adding and deleting a field cost half of this each.
 SPLIT_COST = 0.4
-#: Levels of nested objects that become inner nodes; deeper objects are leaves of type object.
-DEPTH = 4
 _QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
-_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"
-
-
-def _entries(v: Column, depth: int) -> Column:
-    """Leaves of a variant object as array<struct<path, v>>."""
-    here = F.transform(F.map_entries(v.try_cast("map<string,variant>")) if hasattr(v, "try_cast") else v, lambda e: F.struct(e["key"].alias("path"), e["value"].alias("v")))
-    if depth <= 1:
-        return here
-    is_obj = lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT")
-    inner = F.transform(F.filter(here, is_obj), lambda e: F.transform(_entries(e["v"], depth - 1), lambda x: F.struct(F.concat(e["path"], F.lit("."), x["path"]).alias("path"), x["v"].alias("v"))))
-    return F.concat(F.filter(here, lambda e: ~F.coalesce(is_obj(e), F.lit(False))), F.flatten(inner))
-
-
-def leaves(df: DataFrame, keep: list[str], body: str, depth: int = DEPTH) -> DataFrame:
-    """(keep, path, type, text): the leaves of each body. type: string, number, boolean, array, object or null.
-    Bodies that are no JSON object have no leaves."""
-    x = df.select(*keep, F.try_parse_json(F.col(body)).alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
-    x = x.select(*keep, F.explode(_entries(F.col("__v"), depth)).alias("__e"))
-    s = F.coalesce(F.schema_of_variant("__e.v"), F.lit("VOID"))
-    kind = F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number")
-    return x.select(*keep, F.col("__e.path").alias("path"), kind.alias("type"), F.col("__e.v").try_cast("string").alias("text"))
-
-
-def profiles(df: DataFrame, file: list[str], body: str, depth: int = DEPTH) -> DataFrame:
-    """One row per (file, path) with the content profile."""
-    x = leaves(df, file, body, depth).where(F.col("path").isNotNull())
-    t = F.col("text")
-    iso = F.when(t.rlike(_ISO), F.unix_millis(F.try_to_timestamp(t)).cast("double"))
-    num = F.coalesce(F.when(F.col("type").isin("number", "string"), t.try_cast("double")), F.when(F.col("type") == "string", iso), F.when(F.col("type") == "boolean", F.when(t == "true", 1.0).otherwise(0.0)))
-    x = x.withColumn("num", F.when(F.abs(num) < 1e300, num)).withColumn("h", F.when(F.col("type") != "null", F.xxhash64(F.coalesce(F.col("num").cast("string"), t))))
+
+
+class _Number(str):
+    """The digits of a JSON number as they were written."""
+
+    __slots__ = ()
+
+
+def _refuse(word: str) -> None:
+    raise ValueError(f"{word} is no JSON")
+
+
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+
+
+def _object(text: str | None) -> dict[str, Any] | None:
+    """The JSON object that a text is, or None."""
+    try:
+        o = _DECODER.decode(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return o if isinstance(o, dict) else None
+
+
+def flat(o: dict[str, Any]) -> Iterator[tuple[str, Any]]:
+    """(path, value) of the leaves of an object, however deep; arrays are leaves, empty objects have none."""
+    stack = [("", iter(o.items()))]
+    while stack:
+        before, items = stack[-1]
+        for k, v in items:
+            if type(v) is dict:
+                stack.append((f"{before}{k}.", iter(v.items())))
+                break
+            yield before + k, v
+        else:
+            stack.pop()
+
+
+def _json(v: Any) -> str:
+    """JSON text of a value, numbers as they were written."""
+    if isinstance(v, list):
+        return f"[{','.join(map(_json, v))}]"
+    if isinstance(v, dict):
+        return f"{{{','.join(f'{_json(k)}:{_json(x)}' for k, x in v.items())}}}"
+    return v if type(v) is _Number else json.dumps(v, ensure_ascii=False)
+
+
+def _text(v: Any) -> str | None:
+    return v if v is None or isinstance(v, str) else _json(v)
+
+
+def _amount(v: str) -> float | None:
+    """The number that a text is, or the milliseconds of a moment in ISO form (UTC where it names no zone)."""
+    c = v[:1]
+    if c.isdigit() or c in "+-. ":
+        try:
+            if "_" not in v:
+                return float(v)
+        except ValueError:
+            if len(v) >= 16 and v[4] == v[7] == "-" and v[10] in "T ":
+                try:
+                    t = datetime.fromisoformat(v)
+                except ValueError:
+                    return None
+                return float(((t if t.tzinfo else t.replace(tzinfo=timezone.utc)) - _EPOCH) // timedelta(milliseconds=1))
+    return None
+
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def leaves(df: DataFrame, keep: list[str], body: str) -> DataFrame:
+    """(keep, path, type, text, num): the leaves of each body, read once. type: string, number, boolean, array or null; num:
+    the value as a number where it is one. Bodies that are no JSON object have no leaves; of a name that stands twice in an
+    object the last value counts."""
+    src = df.select(*keep, F.col(body).cast("string").alias("__body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, path, kinds, text, num = [], [], [], [], []
+            for i, s in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                for k, v in flat(_object(s) or {}):
+                    who.append(i)
+                    path.append(k)
+                    if type(v) is str:
+                        kinds.append("string")
+                        text.append(v)
+                        num.append(_amount(v))
+                    elif type(v) is _Number:
+                        kinds.append("number")
+                        text.append(v)
+                        num.append(float(v))
+                    else:
+                        kinds.append("null" if v is None else "boolean" if isinstance(v, bool) else "array")
+                        text.append(_text(v))
+                        num.append(float(v) if isinstance(v, bool) else None)
+            some = b.select(list(range(b.num_columns - 1))).take(pa.array(who, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(path, pa.string()), pa.array(kinds, pa.string()), pa.array(text, pa.string()), pa.array(num, pa.float64())], names=[*keep, "path", "type", "text", "num"])
+
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    return src.mapInArrow(run, f"{ddl}path string, type string, text string, num double")
+
+
+def profiles(df: DataFrame, file: list[str], body: str) -> DataFrame:
+    """One row per (file, path) with the content profile, of constant size."""
+    x = leaves(df, file, body)
+    x = x.withColumn("num", F.when(F.abs("num") < 1e300, F.col("num"))).withColumn("h", F.when(F.col("type") != "null", F.when(F.col("num").isNotNull(), F.xxhash64("num")).otherwise(F.xxhash64("text"))))
     log = F.signum("num") * F.log10(1 + 1e4 * F.abs("num"))  # 0 and 1 lie apart, and so do small amounts
     some = F.col("type") != "null"
     bit = lambda lo: F.bit_or(F.when(some & (F.pmod(F.shiftright("h", 6), F.lit(2)) == lo), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("h", F.lit(64)).cast("int"))))
     return x.groupBy(*file, "path").agg(
-        F.count_if(some).alias("n"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("string", "number", "boolean", "array", "object")], F.count("num").alias("n_num"),
-        F.avg("num").alias("mean"), F.avg(log).alias("log_mean"), F.percentile(log, F.array(*[F.lit(q) for q in _QUANTILES])).alias("q"),
+        F.count_if(some).alias("n"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in ("string", "number", "boolean", "array")], F.count("num").alias("n_num"),
+        F.avg("num").alias("mean"), F.avg(log).alias("log_mean"), F.percentile_approx(log, F.array(*[F.lit(q) for q in _QUANTILES]), F.lit(500)).alias("q"),
         F.coalesce(bit(0), F.lit(0)).alias("b0"), F.coalesce(bit(1), F.lit(0)).alias("b1"), F.approx_count_distinct("h").alias("distinct"), F.avg(F.when(some, F.length("text"))).alias("length"),
         F.avg(F.when(some & F.col("num").isNotNull(), (F.col("num") == F.floor("num")).cast("double"))).alias("whole"),
     )
 
 
+def pooled(p: DataFrame) -> DataFrame:
+    """One row per path from the profiles of files: what the fields of that name hold in general. The records aren't read again."""
+    mean = lambda c, n: F.try_divide(F.sum(F.col(c) * F.col(n)), F.sum(F.when(F.col(c).isNotNull(), F.col(n)))).alias(c)
+    counts = [c for c in p.columns if c.startswith("n_") or c in ("n", "distinct")]
+    return p.groupBy("path").agg(
+        *[F.sum(c).alias(c) for c in counts], mean("mean", "n_num"), mean("log_mean", "n_num"), mean("length", "n"), mean("whole", "n_num"), F.bit_or("b0").alias("b0"), F.bit_or("b1").alias("b1"),
+        F.array(*[F.percentile_approx(F.col("q")[i], 0.5, 500) for i in range(len(_QUANTILES))]).alias("q"),
+    ).select("path", *[c for c in p.columns if c in _PROFILE])
+
+
+_PROFILE = ["n", "n_string", "n_number", "n_boolean", "n_array", "n_num", "mean", "log_mean", "q", "b0", "b1", "distinct", "length", "whole"]
+
+
 def kind(p: dict[str, Any]) -> str:
     """The JSON type that most of a field's values have; '' without values."""
-    return max(("string", "number", "boolean", "array", "object"), key=lambda k: p[f"n_{k}"]) if p["n"] else ""
+    return max(("string", "number", "boolean", "array"), key=lambda k: p[f"n_{k}"]) if p["n"] else ""
 
 
 def _class(p: dict[str, Any]) -> str:
@@ -74,7 +167,7 @@ def _class(p: dict[str, Any]) -> str:
     if p["n_boolean"] * 2 > p["n"]:
         return "boolean"
     if p["n_num"] * 2 <= p["n"]:
-        return kind(p) if kind(p) in ("array", "object") else "text"
+        return "array" if kind(p) == "array" else "text"
     return "time" if 1e11 < abs(p["mean"]) < 1e20 else "number"
 
 
@@ -235,20 +328,20 @@ def script(before: list[dict[str, Any]], after: list[dict[str, Any]]) -> list[tu
     return sorted(out)
 
 
-def file_changes(df: DataFrame, stream: str, seq: str, file: str, body: str, depth: int = DEPTH) -> DataFrame:
-    """(stream, seq, file, operation, old_field, new_field): each change of a file against the one before it in its stream.
+def _files(df: DataFrame, stream: str | None, seq: str | None, file: str, body: str) -> DataFrame:
+    """(stream, seq, file, body) of the rows that belong to a file; one stream without order where none is named."""
+    x = df.select(*[(F.col(c) if c else F.lit(0)).alias(n) for c, n in ((stream, "stream"), (seq, "seq"))], F.col(file).alias("file"), F.col(body).alias("body"))
+    return x.where("stream is not null and seq is not null and file is not null")
 
-    First files have none. A file without any leaf (empty bodies, no JSON) has no schema and is passed over: its successor
-    is compared with the last file that has one. Repeated records change nothing but counts. Rows with a null file, stream
-    or place belong to no file. Only schemas (a few profiles per file) are brought together, never the records.
-    """
-    src = df.where(F.col(stream).isNotNull() & F.col(seq).isNotNull() & F.col(file).isNotNull()).select(F.col(stream).alias("stream"), F.col(seq).alias("seq"), F.col(file).alias("file"), F.col(body).alias("body"))
-    p = profiles(src, ["stream", "seq", "file"], "body", depth)
-    names = [c for c in p.columns if c not in ("stream", "seq", "file")]
-    per = p.groupBy("stream", "seq", "file").agg(F.collect_list(F.struct(*names)).alias("fields"))
-    before = F.lag("fields").over(Window.partitionBy("stream").orderBy("seq", "file"))
-    pair = per.withColumn("before", before).where("before is not null").select("stream", "seq", "file", "before", "fields")
-    t = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+
+_PLACE = ["stream", "seq", "file"]
+
+
+def scripts(p: DataFrame) -> DataFrame:
+    """(stream, seq, file, operation, old_field, new_field) from the profiles of all files (stream, seq, file, path, ...)."""
+    per = p.groupBy(*_PLACE).agg(F.collect_list(F.struct("path", *_PROFILE)).alias("fields"))
+    pair = blocks.previous_in_key(per, ["stream"], "seq", "fields", "before", ties=["file"]).where("before is not null").select(*_PLACE, "before", "fields")
+    t = {f.name: f.dataType.simpleString() for f in p.schema.fields}
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,75 +350,99 @@ def file_changes(df: DataFrame, stream: str, seq: str, file: str, body: str, dep
                 for r in script(x, y):
                     keep.append(i)
                     rows.append(r)
-            some = b.select(["stream", "seq", "file"]).take(pa.array(keep, pa.int32()))
+            some = b.select(_PLACE).take(pa.array(keep, pa.int32()))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(list(c), pa.string()) for c in cols]], names=["stream", "seq", "file", "operation", "old_field", "new_field"])
+            yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(list(c), pa.string()) for c in cols]], names=[*_PLACE, "operation", "old_field", "new_field"])
 
     return pair.mapInArrow(diff, f"stream {t['stream']}, seq {t['seq']}, file {t['file']}, operation string, old_field string, new_field string")
 
 
-def projections(df: DataFrame, file: str, body: str, columns: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None) -> DataFrame:
-    """(file, projection map<path, column>): which field of a file fills which of ``columns``.
+def file_changes(df: DataFrame, stream: str, seq: str, file: str, body: str) -> DataFrame:
+    """(stream, seq, file, operation, old_field, new_field): each change of a file against the one before it in its stream.
+
+    First files have none. A file without any leaf (empty bodies, no JSON) has no schema and is passed over: its successor
+    is compared with the last file that has one. Repeated records change nothing but counts. Rows with a null file, stream
+    or place belong to no file. Only schemas (a few profiles per file) are brought together, in ranges of a stream's files,
+    never the records.
+    """
+    return scripts(profiles(_files(df, stream, seq, file, body), _PLACE, "body"))
+
+
+def projections(p: DataFrame, columns: list[str], ordered: bool = True) -> DataFrame:
+    """(file, projection): for each file, as JSON text, which of its fields fills which of ``columns``. p: the profiles of all files.
 
     A field that bears a column's name fills it; the other fields go to the columns left, by least content distance to
     what the fields of that name hold over all files. The distance is the mean of two: of the field in this file, and of
-    all fields of its name, so that a small file doesn't mislead. With stream and seq the edit scripts are compiled in: a
+    all fields of its name, so that a small file doesn't mislead. Where files are ordered, the edit scripts are compiled in: a
     name that scripts have turned into or out of a column goes to the column for which they did so most often. Each file
     is settled by itself. What is read to the driver is one profile per column.
     """
-    src = df.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), F.col(body).alias("body"))
-    named = profiles(src, [], "body", depth)
-    pooled = {r["path"]: r.asDict(recursive=True) for r in named.where(F.col("path").isin(columns)).collect()}
-    names = [c for c in named.columns]
-    p = profiles(src, ["file"], "body", depth).join(named.select("path", F.struct(*names).alias("pool")), "path")
-    if stream and seq:
-        moved = file_changes(df, stream, seq, file, body, depth).where(F.col("operation").isin("rename", "move"))
+    named = pooled(p)
+    known = {r["path"]: r.asDict(recursive=True) for r in named.where(F.col("path").isin(columns)).collect()}
+    x = p.drop("stream", "seq").join(named.select("path", F.struct("path", *_PROFILE).alias("pool")), "path")
+    if ordered:
+        moved = scripts(p).where(F.col("operation").isin("rename", "move"))
         both = moved.select("old_field", "new_field").union(moved.select("new_field", "old_field")).toDF("path", "__c").where(F.col("__c").isin(columns))
         votes = both.groupBy("path", "__c").agg(F.count(F.lit(1)).alias("__n")).groupBy("path").agg(F.max(F.struct("__n", "__c")).alias("__v")).select("path", F.col("__v.__c").alias("vote"))
-        p = p.join(votes, "path", "left")
+        x = x.join(votes, "path", "left")
     else:
-        p = p.withColumn("vote", F.lit(None).cast("string"))
-    per = p.groupBy("file").agg(F.collect_list(F.struct(*names, "pool", "vote")).alias("fields"))
+        x = x.withColumn("vote", F.lit(None).cast("string"))
+    per = x.groupBy("file").agg(F.collect_list(F.struct("path", *_PROFILE, "pool", "vote")).alias("fields"))
 
-    doubt = 2 if stream and seq else 1  # where scripts speak, content alone must be twice as close
+    doubt = 2 if ordered else 1  # where scripts speak, content alone must be twice as close
 
-    def settle(fields: list[dict[str, Any]]) -> list[tuple[str, str]]:
+    def settle(fields: list[dict[str, Any]]) -> dict[str, str]:
+        fields = sorted(fields, key=lambda f: f["path"])
         have = {f["path"] for f in fields}
-        out = [(c, c) for c in columns if c in have]
-        rest, want = [f for f in fields if f["path"] not in columns], [c for c in columns if c not in have and c in pooled]
-        cost = lambda f, c: (0.0 if f["vote"] == c else 1.0) if f["vote"] else (distance(f, pooled[c]) + distance(f["pool"], pooled[c])) * doubt / 2
+        rest, want = [f for f in fields if f["path"] not in columns], [c for c in columns if c not in have and c in known]
+        cost = lambda f, c: (0.0 if f["vote"] == c else 1.0) if f["vote"] else (distance(f, known[c]) + distance(f["pool"], known[c])) * doubt / 2
         got = assign([[cost(f, c) for c in want] for f in rest], SPLIT_COST / 2, SPLIT_COST / 2)
-        return out + [(rest[i]["path"], want[j]) for i, j in enumerate(got) if j >= 0]
+        return {c: c for c in columns if c in have} | {rest[i]["path"]: want[j] for i, j in enumerate(got) if j >= 0}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maps = [settle(f) for f in b.column("fields").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["file", "projection"])
+            maps = [json.dumps(settle(f)) for f in b.column("fields").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(maps, pa.string())], names=["file", "projection"])
 
-    return per.mapInArrow(run, f"file {src.schema['file'].dataType.simpleString()}, projection map<string,string>")
+    return per.mapInArrow(run, f"file {p.schema['file'].dataType.simpleString()}, projection string")
 
 
-def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], depth: int = DEPTH, stream: str | None = None, seq: str | None = None, rest: str | None = None) -> DataFrame:
+def unified(df: DataFrame, file: str, body: str, columns: list[str], keep: list[str], stream: str | None = None, seq: str | None = None, rest: str | None = None) -> DataFrame:
     """``keep`` and one text column per name of ``columns``, whatever the record's file calls it; absent is null.
 
     With ``rest`` a last column of that name, map<string,string>, holds by path every value that is not null and fills no
     column: fields that files added, names that nothing ties to a column, and all fields of records without a file. A path
     that occurs again in a record (a dot in a name) has #place behind it. Records that repeat stay; a body that is no JSON
-    object gives nulls. Names in ``keep`` may not clash with ``columns`` or ``rest``.
+    object gives nulls. Names in ``keep`` may not clash with ``columns`` or ``rest``. Bodies are read twice: for the profiles,
+    and for the table.
     """
     if twice := set(keep) & {*columns, rest} or {rest} & set(columns):
         raise ValueError(f"columns named twice: {sorted(twice)}")
-    v = F.try_parse_json(F.col(body))
-    x = df.select(*keep, F.col(file).alias("__f"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("__v"))
-    x = x.join(projections(df, file, body, columns, depth, stream, seq).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left")
-    x = x.select(*keep, "projection", F.transform(_entries(F.col("__v"), depth), lambda e: F.struct(e["path"].alias("path"), e["v"].try_cast("string").alias("v"))).alias("__e"))
-
-    def placed(e: Column, i: Column) -> Column:
-        again = F.exists(F.slice("__e", F.lit(1), i), lambda o: o["path"] == e["path"])
-        return F.struct(F.when(~again, F.try_element_at("projection", e["path"])).alias("k"), F.when(again, F.concat(e["path"], F.lit("#"), i.cast("string"))).otherwise(e["path"]).alias("path"), e["v"].alias("v"))
-
-    x = x.select(*keep, F.transform("__e", placed).alias("__e"))
-    mapped = lambda key, which: F.map_from_entries(F.transform(F.filter("__e", which), lambda e: F.struct(e[key].alias("k"), e["v"].alias("v"))))
-    other = [mapped("path", lambda e: e["k"].isNull() & e["v"].isNotNull()).alias(rest)] if rest else []
-    x = x.select(*keep, mapped("k", lambda e: e["k"].isNotNull()).alias("__m"), *other)
-    return x.select(*keep, *[F.try_element_at("__m", F.lit(c)).alias(c) for c in columns], *([rest] if rest else []))
+    p = written(profiles(_files(df, stream, seq, file, body), _PLACE, "body"), "profiles")
+    x = df.select(*keep, F.col(file).alias("__f"), F.col(body).cast("string").alias("__body"))
+    x = x.join(projections(p, columns, bool(stream and seq)).withColumnRenamed("file", "__pf"), F.col("__f") == F.col("__pf"), "left").select(*keep, "projection", "__body")
+    place = {c: i for i, c in enumerate(columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last, to = None, {}
+            cols: list[list[str | None]] = [[None] * b.num_rows for _ in columns]
+            others: list[list[tuple[str, str]]] = []
+            for i, (how, text) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                if how != last:
+                    last, to = how, {k: place[c] for k, c in json.loads(how or "{}").items()}
+                more, met = [], set()
+                for n, (k, v) in enumerate(flat(_object(text) or {})):
+                    if k in met:
+                        more += [(f"{k}#{n}", _text(v))] if v is not None else []
+                    elif (at := to.get(k)) is not None:
+                        cols[at][i] = _text(v)
+                    elif v is not None:
+                        more.append((k, _text(v)))
+                    met.add(k)
+                others.append(more)
+            out = [*b.columns[:-2], *[pa.array(c, pa.string()) for c in cols]]
+            yield pa.RecordBatch.from_arrays([*out, *([pa.array(others, pa.map_(pa.string(), pa.string()))] if rest else [])], names=[*keep, *columns, *([rest] if rest else [])])
+
+    ddl = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-2]], *[f"`{c}` string" for c in columns], *([f"`{rest}` map<string,string>"] if rest else [])]
+    return x.mapInArrow(run, ", ".join(ddl))
