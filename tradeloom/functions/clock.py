@@ -91,14 +91,15 @@ def local_to_utc(local_us: Column, zone: Column, ambiguous: str = "reject", none
 
 
 def normalise_timestamps(
-    df: DataFrame, zones: DataFrame, text: str = "trade_timestamp", feed: str = "feed", out: str = "utc_us", ambiguous: str = "reject", nonexistent: str = "reject"
+    df: DataFrame, zones: DataFrame, text: str = "trade_timestamp", feed: str = "feed", out: str = "utc_us", ambiguous: str = "reject", nonexistent: str = "reject", count_years: tuple[int, int] = COUNT_YEARS
 ) -> DataFrame:
     """df with column ``out``: microseconds since 1970 UTC where ``text`` denotes exactly one instant, else null.
 
     zones has one row per feed: feed, tz_name, date_order (YMD, DMY, MDY); for several rows of a feed the result keeps
     one row per row of df by taking the least (tz_name, date_order). Null, empty and very long texts, unknown feeds
     and unknown zones give null (a text with its own zone needs no feed unless its date is numeric). Further columns
-    of df are kept; columns of zones are not added. Digits beyond the microsecond are dropped.
+    of df are kept; columns of zones are not added. Digits beyond the microsecond are dropped. Bare counts are taken in the
+    unit that puts them into ``count_years`` (end exclusive).
     """
     z = zones.groupBy(F.col("feed").alias("__feed")).agg(F.min(F.struct("tz_name", "date_order")).alias("__z"))
     z = z.select("__feed", F.col("__z.tz_name").alias("__tz"), F.col("__z.date_order").alias("__order"))
@@ -106,7 +107,7 @@ def normalise_timestamps(
     fields = F.lit(None).cast("string")
     for pattern, to in reversed(CASCADE):
         fields = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, to)).otherwise(fields)
-    x = df.withColumn("__t", F.when(F.length(text) <= 64, F.col(text))).join(z, F.col(feed) == F.col("__feed"), "left")
+    x = df.withColumn("__t", F.col(text)).join(z, F.col(feed) == F.col("__feed"), "left")
     x = _bound(x, __f=F.split(fields, r"\|")).drop("__feed", "__t")
     f = F.col("__f")
     kind, frac = f[0], F.col("__f")[7]
@@ -123,9 +124,10 @@ def normalise_timestamps(
     first = F.make_date(F.when(ok, y).cast("int"), F.when(ok, mo).cast("int"), F.lit(1))
     days = F.when(d <= F.dayofmonth(F.last_day(first)), F.unix_date(first) + d - 1)
     local = (days * 86400 + h * 3600 + mi * 60 + s) * F.lit(1_000_000) + F.col("__us")
-    known = [F.lit(v) for (tz, ab), o in abbreviations(zones).items() for v in (f"{tz} {ab}", o)]
-    lookup = F.try_element_at(F.create_map(*known), F.concat_ws(" ", "__tz", "__zone")) if known else F.lit(None).cast("int")
-    abbr = F.when(F.col("__zone").rlike("^[A-Z]{2,5}$"), lookup.cast("long"))
+    # a table of a few rows per zone name, of which about 600 exist
+    known = df.sparkSession.createDataFrame([(tz, ab, o) for (tz, ab), o in abbreviations(zones).items()], "__ntz string, __nab string, __abbr long")
+    x = x.join(F.broadcast(known), (F.col("__tz") == F.col("__ntz")) & (F.col("__zone") == F.col("__nab")), "left").drop("__ntz", "__nab")
+    abbr = F.when(F.col("__zone").rlike("^[A-Z]{2,5}$"), F.col("__abbr"))
     own = F.when(F.col("__zone") == "", F.col("__tz")).when(F.col("__zone").contains("/"), F.col("__zone"))
     x = _bound(x, __local=local, __abbr_s=abbr, __in=F.when(own.isin([*zone_names(), "UTC", "GMT"]), own))
     zone, local = F.col("__zone"), F.col("__local")
@@ -133,7 +135,7 @@ def normalise_timestamps(
     oh, om = F.substring(digits, 1, 2).try_cast("long"), F.coalesce(F.substring(digits, 3, 2).try_cast("long"), F.lit(0))
     offset = F.when((oh <= 18) & (om <= 59), F.when(zone.startswith("-"), -1).otherwise(1) * (oh * 3600 + om * 60))
     count = F.lit(None).cast("long")
-    lo, hi = (_us(n) for n in COUNT_YEARS)
+    lo, hi = (_us(n) for n in count_years)
     for unit, div in ((1_000_000, 1), (1000, 1), (1, 1), (1, 1000)):
         # the fraction belongs to the unit; what is finer than a microsecond is dropped
         whole = F.expr(f"__y div {div}") if div > 1 else y

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradeloom.operators.marts import exact, exact_product
+
 
 def rolling_vwap(df: DataFrame, by: str, seconds: str, span: int = 3600, chunk: int = 6 * 3600) -> DataFrame:
     """df with notional, rolling_notional, rolling_volume, rolling_vwap over [t - span, t]; rows of equal time count for each other.
 
     Time is cut into chunks, and the last ``span`` seconds of a chunk are also context of the next one, so that
     a symbol with a third of all rows is spread over as many tasks as it has chunks. Columns price, quantity of at most
-    four decimals are summed exactly. Null keys, times, prices or quantities: the row is left out.
+    eight decimals are summed exactly. Null keys, times, prices or quantities: the row is left out.
     """
     if span > chunk:
         raise ValueError("a chunk must be at least as long as the span")
-    p, q = F.col("price").cast("decimal(18,4)"), F.col("quantity").cast("decimal(18,4)")
+    pq, q = exact_product("price", "quantity"), exact("quantity")
     own = F.floor(F.col(seconds) / chunk)
     x = df.where(F.col(by).isNotNull() & F.col(seconds).isNotNull() & F.col("price").isNotNull() & F.col("quantity").isNotNull())
     x = x.withColumn("__c", F.explode(F.when(F.col(seconds) >= (own + 1) * chunk - span, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy(by, "__c").orderBy(seconds).rangeBetween(-span, 0)
-    x = x.withColumns({"notional": (p * q).cast("double"), "rolling_notional": F.sum(p * q).over(w).cast("double"), "rolling_volume": F.sum(q).over(w).cast("double")})
+    x = x.withColumns({"notional": pq.cast("double"), "rolling_notional": F.sum(pq).over(w).cast("double"), "rolling_volume": F.sum(q).over(w).cast("double")})
     return x.where(F.col("__c") == own).drop("__c").withColumn("rolling_vwap", F.try_divide("rolling_notional", "rolling_volume"))
 
 

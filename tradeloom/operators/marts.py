@@ -17,8 +17,13 @@ def rounded(c: Column, n: int) -> Column:
 
 
 def exact(c: str) -> Column:
-    """Stored column of at most four decimals as decimal: sums don't depend on their order."""
-    return F.col(c).cast("decimal(18,4)")
+    """A stored column of at most eight decimals as decimal: sums don't depend on their order."""
+    return F.col(c).try_cast("decimal(28,8)")
+
+
+def exact_product(a: str, b: str) -> Column:
+    """The product of two such columns, exact up to 10^11 and 10^10; larger values give null."""
+    return F.col(a).try_cast("decimal(19,8)") * F.col(b).try_cast("decimal(18,8)")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def facts(trades: DataFrame, dim: DataFrame) -> DataFrame:
 
 def daily_metrics(trades: DataFrame, quantity_digits: int = 6, quote_digits: int = 2, price_digits: int = 4) -> DataFrame:
     """Per symbol and UTC day: counts, volumes, price range, vwap, maker and taker shares."""
-    base, notional = F.sum(exact("quantity")), F.sum(exact("price") * exact("quantity"))
+    base, notional = F.sum(exact("quantity")), F.sum(exact_product("price", "quantity"))
     n, makers = F.count(F.lit(1)), F.count_if("is_buyer_maker")
     return trades.groupBy("symbol", F.to_date("trade_timestamp").alias("trade_date")).agg(
         n.alias("trade_count"), rounded(base.cast("double"), quantity_digits).alias("base_volume"), rounded(F.sum(exact("quote_quantity")).cast("double"), quote_digits).alias("quote_volume"),

@@ -209,12 +209,15 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
 # 7 late events
 
 
-def tape_panes(spark: SparkSession, d: str) -> DataFrame:
+def tape_copies(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "realtime_raw_trades")
     ident = {"symbol": canonical_symbol(F.col("symbol")), "trade_id": F.col("trade_id")}
     values = {c: F.col(c) for c in ("price", "quantity", "quote_quantity", "is_buyer_maker")}
-    x = slices.first_copies(t, ident, F.col("ingested_at").cast("timestamp"), F.col("trade_timestamp").cast("timestamp"), values)
-    return slices.panes(slices.in_time(x, LATE_MS), ["symbol"], slices.pane_ms(MINUTE_MS))
+    return slices.first_copies(t, ident, F.col("ingested_at").cast("timestamp"), F.col("trade_timestamp").cast("timestamp"), values)
+
+
+def tape_panes(spark: SparkSession, d: str) -> DataFrame:
+    return slices.panes(slices.in_time(tape_copies(spark, d), LATE_MS), ["symbol"], slices.pane_ms(MINUTE_MS))
 
 
 def p7_candles(spark: SparkSession, d: str) -> DataFrame:
@@ -223,6 +226,27 @@ def p7_candles(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "window_start_ms", "open_price", "high_price", "low_price", "close_price", F.col("trade_count").cast("long").alias("trade_count"))
 
 
+def p7_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Five-minute windows every minute: each pane of a minute is composed into the five windows over it."""
+    x = slices.compose(tape_panes(spark, d), ["symbol"], 5 * MINUTE_MS, MINUTE_MS)
+    return x.select("symbol", "window_start_ms", "open_price", "high_price", "low_price", "close_price", F.col("trade_count").cast("long").alias("trade_count"))
+
+
+def p7_reemitted(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that late trades correct: composed from the panes of trades in time for the end of their pane, and anew, only
+    where a late trade changed a pane, from those panes merged with the late ones."""
+    x = slices.in_time(tape_copies(spark, d), LATE_MS)
+    ms = F.unix_millis("__event")
+    late = F.unix_micros("__arrived") >= (ms - F.pmod(ms, F.lit(MINUTE_MS)) + MINUTE_MS) * 1000
+    first, then = (slices.panes(x.where(c), ["symbol"], MINUTE_MS) for c in (~late, late))
+    touched = slices.affected_windows(then, ["symbol"], 5 * MINUTE_MS, MINUTE_MS)
+    under = slices.panes_under(touched, ["symbol"], 5 * MINUTE_MS, MINUTE_MS)
+    merged = slices.merge_panes(first, then, ["symbol"]).join(under, ["symbol", "pane_start_ms"], "left_semi")
+    again = slices.compose(merged, ["symbol"], 5 * MINUTE_MS, MINUTE_MS).join(touched, ["symbol", "window_start_ms"], "left_semi")
+    before = slices.compose(first, ["symbol"], 5 * MINUTE_MS, MINUTE_MS).select("symbol", "window_start_ms", F.col("trade_count").alias("emitted"))
+    return again.join(before, ["symbol", "window_start_ms"], "left").select("symbol", "window_start_ms", F.coalesce("emitted", F.lit(0)).cast("long").alias("emitted"), F.col("trade_count").cast("long").alias("corrected"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "realtime_market_candles")
     start = F.unix_millis(F.col("window_start").cast("timestamp"))
@@ -234,7 +258,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_plan, p1_groups, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p3_patched, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles,
+        p1_found, p1_plan, p1_groups, p1_consolidated, p1_reconciled, p2_found, p2_undecided, p3_found, p3_current, p3_patched, p4_found, p4_once, p5_found, p5_changes, p5_unified, p6_found, p6_reasons, p6_loaded, p7_found, p7_candles, p7_sliding, p7_reemitted,
     )
 }
 
@@ -246,6 +270,15 @@ k as (select symbol, trade_id, max(lsn) filter (op = 'w') as w, max(lsn) filter
 _P7 = f"""with t as (select {_CANON} as symbol, trade_id, ingested_at, trade_timestamp, price, row_number() over (partition by {_CANON}, trade_id order by ingested_at, trade_timestamp nulls first, price, quantity) as rn from realtime_raw_trades
   where symbol is not null and trade_id is not null and ingested_at is not null),
 ok as (select *, epoch_us(trade_timestamp) // 60000000 * 60000 as window_start_ms from t where rn = 1 and trade_timestamp is not null and epoch_us(ingested_at) - epoch_us(trade_timestamp) <= 600000000)"""
+_P6 = r"""with num as (select '^[+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$' as n),
+raw as (select row_id, regexp_replace(raw_line, '[\r\n]+$', '') as l from raw_trade_lines),
+cut as (select row_id, regexp_full_match(l, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*)){6}') as ok, regexp_extract_all(l || ',', '("([^"]|"")*"|[^",]*),', 1) as f from raw),
+val as (select row_id, ok, list_transform(f, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as f from cut),
+j as (select row_id, ok, f[1] as trade_id, f[2] as symbol, f[3] as price, f[4] as quantity, lower(trim(f[1])) = 'trade_id' and lower(trim(f[3])) = 'price' as head from val
+  union all select row_id, true, trade_id, symbol, price, quantity, false from unit_test_50),
+c as (select row_id, ok, symbol, coalesce(head and ok, false) as head, trim(trade_id, ' ' || chr(9)) as t, trim(price, ' ' || chr(9)) as p, trim(quantity, ' ' || chr(9)) as q from j),
+b as (select *, coalesce(not regexp_full_match(t, '[0-9]+') or coalesce(try_cast(t as bigint), 0) <= 0, true) as bad_t,
+  coalesce(not regexp_matches(p, n) or not (coalesce(try_cast(p as double), 0) > 0) or try_cast(p as double) = 'inf'::double, true) as bad_p, coalesce(not regexp_matches(q, n) or not (coalesce(try_cast(q as double), 0) > 0) or try_cast(q as double) = 'inf'::double, true) as bad_q from c, num)"""
 _LAKE_SQL = f"""with r as (select partition_year as y, partition_month as m, partition_day as d, {_CANON} as s, source_file as f, trade_id as t, price as p, quantity as q, trade_timestamp as ts,
   strlen(symbol) + 8 * ((trade_id is not null)::int + (price is not null)::int + (quantity is not null)::int + (quote_quantity is not null)::int + (trade_timestamp is not null)::int) + (is_buyer_maker is not null)::int + 12 as b from stg_market_trades where source_file is not null),
 man as (select y, m, d, s, f, count(*) as n, count(*) filter (t is null) as bad, cast(sum(b) as bigint) as bytes from r group by all),
@@ -298,13 +331,19 @@ select coalesce(n.symbol, c.symbol) as symbol, coalesce(n.window_start_ms, c.win
     "p7_candles": _P7
     + """ select symbol, window_start_ms, arg_min(price, row(trade_timestamp, trade_id)) as open_price, max(price) as high_price, min(price) as low_price, arg_max(price, row(trade_timestamp, trade_id)) as close_price, count(*) as trade_count
 from ok group by symbol, window_start_ms""",
-    "p6_found": r"""with num as (select '^[+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$' as n),
-raw as (select row_id, regexp_replace(raw_line, '[\r\n]+$', '') as l from raw_trade_lines),
-cut as (select row_id, regexp_full_match(l, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*)){6}') as ok, regexp_extract_all(l || ',', '("([^"]|"")*"|[^",]*),', 1) as f from raw),
-val as (select row_id, ok, list_transform(f, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as f from cut),
-j as (select row_id, ok, f[1] as trade_id, f[3] as price, f[4] as quantity, lower(trim(f[1])) = 'trade_id' and lower(trim(f[3])) = 'price' as head from val
-  union all select row_id, true, trade_id, price, quantity, false from unit_test_50),
-b as (select row_id, ok, coalesce(head and ok, false) as head, trim(trade_id, ' ' || chr(9)) as t, trim(price, ' ' || chr(9)) as p, trim(quantity, ' ' || chr(9)) as q from j)
-select row_id from b, num where not head and (ok is null or not ok or coalesce(not regexp_full_match(t, '[0-9]+') or coalesce(try_cast(t as bigint), 0) <= 0, true)
-  or coalesce(not regexp_matches(p, n) or not (coalesce(try_cast(p as double), 0) > 0) or try_cast(p as double) = 'inf'::double, true) or coalesce(not regexp_matches(q, n) or not (coalesce(try_cast(q as double), 0) > 0) or try_cast(q as double) = 'inf'::double, true))""",
+    "p7_sliding": _P7
+    + """, w as (select *, unnest(generate_series(window_start_ms - 240000, window_start_ms, 60000)) as w from ok) select symbol, w as window_start_ms, arg_min(price, row(trade_timestamp, trade_id)) as open_price, max(price) as high_price, min(price) as low_price,
+arg_max(price, row(trade_timestamp, trade_id)) as close_price, count(*) as trade_count from w group by symbol, w""",
+    "p7_reemitted": _P7
+    + """, w as (select *, epoch_us(ingested_at) >= (window_start_ms + 60000) * 1000 as late, unnest(generate_series(window_start_ms - 240000, window_start_ms, 60000)) as w from ok)
+select symbol, w as window_start_ms, count(*) filter (not late) as emitted, count(*) as corrected from w group by symbol, w having count(*) filter (late) > 0""",
+    "p6_found": _P6
+    + " select row_id from b where not head and (ok is null or not ok or bad_t or bad_p or bad_q)",
+    "p6_reasons": _P6
+    + r""", w as (select b.*, l, regexp_replace(l, '^(("([^"]|"")*"|[^",]*),)*', '') as rest, regexp_full_match(l, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') as quoted from b left join raw using (row_id) where not head),
+r as (select case when l is null and ok is null then 'missing record' when l is not null and not quoted and rest like '"%' then case when regexp_matches(rest, '^"([^"]|"")*"[^",]') then 'text after a closing quote' else 'quote not closed' end
+  when l is not null and not quoted then 'quote inside a plain field' when not ok then len(regexp_extract_all(l || ',', '("([^"]|"")*"|[^",]*),')) || ' columns in place of 7' when bad_t then 'trade_id' when bad_p then 'price' when bad_q then 'quantity' end as reason from w)
+select reason, count(*) as n_rows from r where reason is not null group by all""",
+    "p6_loaded": _P6
+    + f" select row_id, try_cast(t as bigint) as trade_id, {_CANON} as symbol, try_cast(p as double) as price, try_cast(q as double) as quantity from b where not head and ok and not bad_t and not bad_p and not bad_q",
 }

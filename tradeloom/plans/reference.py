@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.functions.text import canonical_symbol
-from tradeloom.operators import blocks, indicators, marts, merge, quality, slices
+from tradeloom.operators import blocks, indicators, lake, marts, merge, quality, retention, slices
 from tradeloom.operators.marts import rounded
+from tradeloom.session import scratch, written
+from tradeloom.streaming import backfill, dlq
 
 HOUR_MS = 3_600_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +53,13 @@ def _r(x: str, n: int) -> str:
     return f"floor(({x}) * {float(10**n)}::double + 0.5) / {float(10**n)}::double"
 
 
-_D = "cast({} as decimal(18,4))".format
-_BASE, _NOTIONAL = f"cast(sum({_D('quantity')}) as double)", f"cast(sum({_D('price')} * {_D('quantity')}) as double)"
+#: Amounts as whole numbers of 10^-8, by a rule of their own: the SQL shares no decimal type with the operators.
+_I = "cast(round({} * 1e8) as hugeint)".format
+_BASE, _NOTIONAL = f"(cast(sum({_I('quantity')}) as double) / 1e8)", f"(cast(sum({_I('price')} * {_I('quantity')}) as double) / 1e16)"
+
+
+def _total(c: str) -> str:
+    return f"(cast(sum({_I(c)}) as double) / 1e8)"
 
 
 @query(f"with {_STG} select * from stg")
@@ -73,12 +80,12 @@ def dim_assets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_DIM} select md5(dd.symbol || '-' || cast(trade_id as varchar)) as trade_key, asset_key, trade_id, dd.symbol, price, quantity, quote_quantity, trade_timestamp,
 cast(strftime(trade_timestamp, '%Y%m%d') as integer) as date_key, is_buyer_maker from dd join dim on dd.symbol = dim.symbol""")
 def fct_trades(spark: SparkSession, d: str) -> DataFrame:
-    t = _dedup(spark, d)
+    t = written(_dedup(spark, d), "trades")  # read by the facts and by their dimension
     return marts.facts(t, marts.assets(t))
 
 
 def _daily_sql(q: int, qq: int) -> str:
-    return f"""with {_INT} select symbol, cast(cast(trade_timestamp as date) as varchar) as trade_date, count(*) as trade_count, {_r(_BASE, q)} as base_volume, {_r(f"cast(sum({_D('quote_quantity')}) as double)", qq)} as quote_volume,
+    return f"""with {_INT} select symbol, cast(cast(trade_timestamp as date) as varchar) as trade_date, count(*) as trade_count, {_r(_BASE, q)} as base_volume, {_r(_total('quote_quantity'), qq)} as quote_volume,
 min(price) as low_price, max(price) as high_price, {_r(f"{_NOTIONAL} / nullif({_BASE}, 0)", 4)} as vwap, count(*) filter (is_buyer_maker) as maker_count, count(*) filter (not is_buyer_maker) as taker_count,
 {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from dd group by all"""
 
@@ -100,12 +107,12 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return marts.orphans(t, marts.assets(t).where("quote_asset <> 'UNKNOWN' and base_asset <> ''"), "symbol").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-@query(f"select {_SYM} as symbol, count(*) as n, cast(sum({_D('quote_quantity')}) as double) as quote_volume from stg_market_trades group by all")
+@query(f"select {_SYM} as symbol, count(*) as n, {_r(_total('quote_quantity'), 4)} as quote_volume from stg_market_trades group by all")
 def full_scan_agg(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "stg_market_trades").groupBy(canonical_symbol(F.col("symbol")).alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.sum(marts.exact("quote_quantity")).cast("double").alias("quote_volume"))
+    return read(spark, d, "stg_market_trades").groupBy(canonical_symbol(F.col("symbol")).alias("symbol")).agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(marts.exact("quote_quantity")).cast("double"), 4).alias("quote_volume"))
 
 
-@query(f"select count(*) as n, {_r(f"cast(sum({_D('price')}) as double) / count(price)", 6)} as avg_price from stg_market_trades where symbol = 'BTCUSDT' and partition_day = 3")
+@query(f"select count(*) as n, {_r(_total('price') + " / count(price)", 6)} as avg_price from stg_market_trades where symbol = 'BTCUSDT' and partition_day = 3")
 def pruned_filter_avg(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "stg_market_trades").where("symbol = 'BTCUSDT' and partition_day = 3")
     return x.agg(F.count(F.lit(1)).alias("n"), rounded(F.try_divide(F.sum(marts.exact("price")).cast("double"), F.count("price")), 6).alias("avg_price"))
@@ -142,12 +149,12 @@ def _candle_rows(spark: SparkSession, d: str) -> DataFrame:
 def _candles(spark: SparkSession, d: str, window: int, slide: int | None = None) -> DataFrame:
     p = slices.panes(_candle_rows(spark, d), ["symbol"], slices.pane_ms(window, slide))
     c = slices.compose(p, ["symbol"], window, slide)
-    return c.select("symbol", "window_start_ms", "open_price", "high_price", "low_price", "close_price", rounded(F.col("base_volume"), 4).alias("base_volume"), F.col("trade_count").cast("long").alias("trade_count"), rounded(F.col("taker_buy_ratio"), 2).alias("taker_ratio"))
+    return c.select("symbol", "window_start_ms", "open_price", "high_price", "low_price", "close_price", rounded(F.col("base_volume"), 4).alias("base_volume"), rounded(F.col("quote_volume"), 4).alias("quote_volume"), rounded(F.col("vwap"), 6).alias("vwap"), F.col("trade_count").cast("long").alias("trade_count"), rounded(F.col("taker_buy_ratio"), 2).alias("taker_ratio"))
 
 
 def _candle_sql(ms: int) -> str:
     return f"""with {_EV} select symbol, us // {ms * 1000} * {ms} as window_start_ms, arg_min(price, row(us, event_id)) as open_price, max(price) as high_price, min(price) as low_price, arg_max(price, row(us, event_id)) as close_price,
-{_r("sum(quantity)", 4)} as base_volume, count(*) as trade_count, {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from ok group by all"""
+{_r("sum(quantity)", 4)} as base_volume, {_r("sum(price * quantity)", 4)} as quote_volume, {_r("sum(price * quantity) / sum(quantity)", 6)} as vwap, count(*) as trade_count, {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from ok group by all"""
 
 
 @query(_candle_sql(60_000))
@@ -162,7 +169,7 @@ def candles_1h(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_EV}, w as (select *, unnest([us // {HOUR_MS * 1000} * {HOUR_MS}, us // {HOUR_MS * 1000} * {HOUR_MS} - {HOUR_MS}]) as window_start_ms from ok)
 select symbol, window_start_ms, arg_min(price, row(us, event_id)) as open_price, max(price) as high_price, min(price) as low_price, arg_max(price, row(us, event_id)) as close_price,
-{_r("sum(quantity)", 4)} as base_volume, count(*) as trade_count, {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from w group by all""")
+{_r("sum(quantity)", 4)} as base_volume, {_r("sum(price * quantity)", 4)} as quote_volume, {_r("sum(price * quantity) / sum(quantity)", 6)} as vwap, count(*) as trade_count, {_r("count(*) filter (not is_buyer_maker) * 100.0::double / count(*)", 2)} as taker_ratio from w group by all""")
 def candles_sliding_2h(spark: SparkSession, d: str) -> DataFrame:
     """Two-hour windows every hour: each pane is composed into two windows."""
     return _candles(spark, d, 2 * HOUR_MS, HOUR_MS)
@@ -173,7 +180,7 @@ def batch_vwap_1h(spark: SparkSession, d: str) -> DataFrame:
     """The mergeable accumulator of the batch pipeline: partial and final aggregation are Spark's own."""
     x = _events(spark, d).where("price > 0 and quantity > 0").withColumn("window_start_ms", F.floor(F.col("us") / (HOUR_MS * 1000)) * HOUR_MS)
     v = F.sum(marts.exact("quantity")).cast("double")
-    return x.groupBy("symbol", "window_start_ms").agg(rounded(F.try_divide(F.sum(marts.exact("price") * marts.exact("quantity")).cast("double"), v), 4).alias("vwap"), rounded(F.sum("quantity"), 4).alias("volume"), F.count(F.lit(1)).alias("trade_count"))
+    return x.groupBy("symbol", "window_start_ms").agg(rounded(F.try_divide(F.sum(marts.exact_product("price", "quantity")).cast("double"), v), 4).alias("vwap"), rounded(F.sum("quantity"), 4).alias("volume"), F.count(F.lit(1)).alias("trade_count"))
 
 
 _BF = (1_704_844_800_000, 1_705_708_800_000)
@@ -183,8 +190,7 @@ _BF = (1_704_844_800_000, 1_705_708_800_000)
 where us // 1000 between {_BF[0]} and {_BF[1]} and symbol = 'CLICK' group by all""")
 def backfill_range(spark: SparkSession, d: str) -> DataFrame:
     """Candles of one symbol over a time range, both ends included."""
-    x = _candle_rows(spark, d).where(F.unix_millis("__event").between(*_BF) & (F.col("symbol") == "CLICK"))
-    c = slices.compose(slices.panes(x, ["symbol"], HOUR_MS), ["symbol"], HOUR_MS)
+    c = backfill.backfill(_candle_rows(spark, d).withColumnRenamed("__event", "trade_timestamp"), *_BF, symbol="CLICK", window_ms=HOUR_MS)
     return c.select("symbol", "window_start_ms", "open_price", "close_price", F.col("trade_count").cast("long").alias("trade_count")).orderBy("window_start_ms", "symbol")
 
 
@@ -215,12 +221,12 @@ def ema(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "window_start", rounded(F.col("ema_9"), 6).alias("ema_9"), rounded(F.col("ema_21"), 6).alias("ema_21"))
 
 
-@query(f"""with {_INT}, t as (select symbol, trade_id, price, quantity, epoch_us(trade_timestamp) // 1000000 as s from dd where trade_timestamp is not null), w as (select *, sum({_D('price')} * {_D('quantity')}) over r as n, sum({_D('quantity')}) over r as v from t
-window r as (partition by symbol order by s range between 3600 preceding and current row)) select symbol, trade_id, cast(n as double) as rolling_notional, cast(v as double) as rolling_volume, {_r("cast(n as double) / cast(v as double)", 4)} as rolling_vwap from w""")
+@query(f"""with {_INT}, t as (select symbol, trade_id, price, quantity, epoch_us(trade_timestamp) // 1000000 as s from dd where trade_timestamp is not null), w as (select *, sum({_I('price')} * {_I('quantity')}) over r as n, sum({_I('quantity')}) over r as v from t
+window r as (partition by symbol order by s range between 3600 preceding and current row)) select symbol, trade_id, {_r("cast(n as double) / 1e16", 4)} as rolling_notional, {_r("cast(v as double) / 1e8", 6)} as rolling_volume, {_r("cast(n as double) / 1e16 / (cast(v as double) / 1e8)", 4)} as rolling_vwap from w""")
 def rolling_vwap_1h(spark: SparkSession, d: str) -> DataFrame:
     t = _dedup(spark, d).withColumn("s", F.floor(F.unix_micros("trade_timestamp") / 1_000_000).cast("long"))
     x = indicators.rolling_vwap(t.select("symbol", "trade_id", "price", "quantity", "s"), "symbol", "s")
-    return x.select("symbol", "trade_id", "rolling_notional", "rolling_volume", rounded(F.col("rolling_vwap"), 4).alias("rolling_vwap"))
+    return x.select("symbol", "trade_id", rounded(F.col("rolling_notional"), 4).alias("rolling_notional"), rounded(F.col("rolling_volume"), 6).alias("rolling_volume"), rounded(F.col("rolling_vwap"), 4).alias("rolling_vwap"))
 
 
 _BOOK = f"""mid as (select symbol, arg_max(close_price, row(window_start, close_price)) as mid from ({_CANDLES}) group by all), lv as (select symbol, mid, unnest(generate_series(1, 10)) as level from mid),
@@ -257,7 +263,7 @@ def watermark_late(spark: SparkSession, d: str) -> DataFrame:
 select upper(event_type) as symbol, window_start_ms, arg_min(value, row(ms, seq)) as open_price, arg_max(value, row(ms, seq)) as close_price, count(*) as trade_count from m where window_start_ms + {HOUR_MS} > wm group by all""")
 def watermarked_candles(spark: SparkSession, d: str) -> DataFrame:
     """Candles without the late records, all windows flushed."""
-    e = read(spark, d, "events").select("event_type", "value", "event_id").join(_events(spark, d).select("event_id", F.floor(F.col("us") / 1000).alias("ms")), "event_id")
+    e = _events(spark, d).select("event_id", F.col("symbol").alias("event_type"), F.col("price").alias("value"), F.floor(F.col("us") / 1000).alias("ms"))
     e = e.withColumn("seq", (F.floor(F.col("event_id") / 3)) * 3 + (2 - F.col("event_id") % 3))
     x = blocks.lateness(e, "seq", "ms", HOUR_MS, 5000).where("not is_late").groupBy(F.upper("event_type").alias("symbol"), "window_start_ms")
     return x.agg(F.min_by("value", F.struct("ms", "seq")).alias("open_price"), F.max_by("value", F.struct("ms", "seq")).alias("close_price"), F.count(F.lit(1)).alias("trade_count"))
@@ -270,16 +276,24 @@ def _num(c: str) -> str:
     return f"try_cast(trim({c}) as double)"
 
 
-@query(r"""with s as (select row_id, upper(regexp_replace(coalesce(symbol, ''), '^\s+|\s+$', '', 'g')) as symbol, case when regexp_full_match(trim(trade_id), '[+-]?[0-9]+') then try_cast(trim(trade_id) as bigint) end as tid,
-case when regexp_full_match(trim(price), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(price) as double) end as p, case when regexp_full_match(trim(quantity), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(quantity) as double) end as q from unit_test_50)
-select row_id, symbol, case when length(symbol) < 1 or length(symbol) > 20 then 'symbol' when tid is null or tid <= 0 then 'trade_id' when p is null or p = 'inf'::double or p <= 0 then 'price' when q is null or q = 'inf'::double or q <= 0 then 'quantity' end as first_reason from s""")
+_NUM = r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+_WHITE = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')".format
+_SAN = rf"""s as (select row_id, upper({_WHITE("coalesce(symbol, '')")}) as symbol, case when regexp_full_match({_WHITE("trade_id")}, '[+-]?[0-9]+') then try_cast({_WHITE("trade_id")} as bigint) end as tid,
+case when regexp_full_match({_WHITE("price")}, '{_NUM}') then try_cast({_WHITE("price")} as double) end as p, case when regexp_full_match({_WHITE("quantity")}, '{_NUM}') then try_cast({_WHITE("quantity")} as double) end as q,
+{_WHITE("coalesce(quote_quantity, '')")} as qq, {_WHITE("trade_timestamp")} as ts, coalesce(lower({_WHITE("is_buyer_maker")}) in ('true', '1', 't', 'yes'), false) as is_buyer_maker from unit_test_50),
+f as (select *, regexp_extract(ts, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:[T ]([0-9]{{2}}):([0-9]{{2}})(?::([0-9]{{2}})(?:[.][0-9]{{1,9}})?)?)?(?:Z|[+-]([0-9]{{2}}):?([0-9]{{2}}))?$', ['d', 'h', 'm', 's', 'oh', 'om']) as g from s),
+san as (select row_id, symbol, is_buyer_maker, case when length(symbol) < 1 or length(symbol) > 20 then 'symbol' when tid is null or tid <= 0 then 'trade_id' when p is null or p = 'inf'::double or p <= 0 then 'price' when q is null or q = 'inf'::double or q <= 0 then 'quantity'
+when qq <> '' and not (regexp_full_match(qq, '{_NUM}') or lower(qq) in ('nan', 'inf', '+inf', '-inf', 'infinity', '+infinity', '-infinity')) then 'quote_quantity'
+when not coalesce(regexp_full_match(ts, '[0-9]{{1,18}}') or (try_cast(nullif(g.d, '') as date) is not null and coalesce(try_cast(g.h as int), 0) < 24 and coalesce(try_cast(g.m as int), 0) < 60 and coalesce(try_cast(g.s as int), 0) < 60 and coalesce(try_cast(g.oh as int), 0) <= 18 and coalesce(try_cast(g.om as int), 0) < 60), false) then 'trade_timestamp' end as reject_reason from f)"""
+
+
+@query(f"with {_SAN} select * from san")
 def sanitized_rows(spark: SparkSession, d: str) -> DataFrame:
-    """First failing rule of each row, up to the numbers."""
-    x = quality.sanitized(read(spark, d, "unit_test_50"))
-    return x.select("row_id", "symbol", F.when(F.col("reject_reason").isin("symbol", "trade_id", "price", "quantity"), F.col("reject_reason")).alias("first_reason"))
+    """The first failing rule of each row, over all rules."""
+    return quality.sanitized(read(spark, d, "unit_test_50")).select("row_id", "symbol", "is_buyer_maker", "reject_reason")
 
 
-@query()
+@query(f"with {_SAN} select coalesce(reject_reason, 'valid') as outcome, count(*) as n_rows from san group by all")
 def ingest_audit(spark: SparkSession, d: str) -> DataFrame:
     """Rows scanned, valid and quarantined by reason."""
     return quality.sanitized(read(spark, d, "unit_test_50")).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -328,20 +342,29 @@ def quarantine_split(spark: SparkSession, d: str) -> DataFrame:
 _KEY = ["symbol", "trade_id"]
 
 
-@query(f"""with {_CDC}, {_OKEV}, l as (select *, row_number() over (partition by symbol, trade_id order by arrival_seq desc) as rn from ok) select symbol, trade_id, price, quantity from l where rn = 1 and op_type <> 'delete'""")
+_STATE = f"st as (select {_SYM} as symbol, trade_id, cast(arg_max(price, row(updated_at, record_hash)) as double) as price, cast(arg_max(quantity, row(updated_at, record_hash)) as double) as quantity from fact_trades where symbol is not null and trade_id is not null group by 1, 2)"
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """The trades loaded so far, each key once: what the changes are merged into."""
+    f = read(spark, d, "fact_trades").withColumn("symbol", canonical_symbol(F.col("symbol"))).where("symbol is not null and trade_id is not null")
+    f = f.groupBy(*_KEY).agg(F.max(F.struct("updated_at", "record_hash", "price", "quantity")).alias("r"))
+    return f.select(*_KEY, F.col("r.price").cast("double").alias("price"), F.col("r.quantity").cast("double").alias("quantity"))
+
+
+@query(f"""with {_CDC}, {_OKEV}, {_STATE}, l as (select *, row_number() over (partition by symbol, trade_id order by arrival_seq desc) as rn from ok) select symbol, trade_id, price, quantity from l where rn = 1 and op_type <> 'delete'
+union all select st.* from st anti join l on st.symbol = l.symbol and st.trade_id = l.trade_id""")
 def cdc_merge_state(spark: SparkSession, d: str) -> DataFrame:
     """The table after the changes in order of arrival."""
     e = _changes(spark, d).where("op_type is not null and symbol <> '' and trade_id is not null")
-    base = e.select("symbol", "trade_id", "price", "quantity").where("false")
-    return merge.ordered_merge(base, e, _KEY, "arrival_seq", "op_type")
+    return merge.ordered_merge(_state(spark, d), e, _KEY, "arrival_seq", "op_type")
 
 
-@query(f"""with {_CDC}, {_OKEV}, p as (select *, coalesce(lag(op_type) over (partition by symbol, trade_id order by arrival_seq) <> 'delete', false) as there, row_number() over (partition by symbol, trade_id order by arrival_seq desc) as rn from ok)
-select count(*) filter (op_type = 'insert' or (op_type = 'update' and not there)) as added, count(*) filter (op_type = 'update' and there) as updated, count(*) filter (op_type = 'delete' and there) as deleted, count(*) filter (rn = 1 and op_type <> 'delete') as total from p""")
+@query(f"""with {_CDC}, {_OKEV}, {_STATE}, p as (select ok.*, coalesce(lag(op_type) over (partition by ok.symbol, ok.trade_id order by arrival_seq) <> 'delete', st.symbol is not null) as there, row_number() over (partition by ok.symbol, ok.trade_id order by arrival_seq desc) as rn from ok left join st on ok.symbol = st.symbol and ok.trade_id = st.trade_id)
+select count(*) filter (op_type = 'insert' or (op_type = 'update' and not there)) as added, count(*) filter (op_type = 'update' and there) as updated, count(*) filter (op_type = 'delete' and there) as deleted, count(*) filter (rn = 1 and op_type <> 'delete') + (select count(*) from st anti join ok on st.symbol = ok.symbol and st.trade_id = ok.trade_id) as total from p""")
 def cdc_merge_counts(spark: SparkSession, d: str) -> DataFrame:
     e = _changes(spark, d).where("op_type is not null and symbol <> '' and trade_id is not null")
-    base = e.select("symbol", "trade_id").where("false")
-    return merge.merge_counts(base, e, _KEY, "arrival_seq", "op_type")
+    return merge.merge_counts(_state(spark, d).select(*_KEY), e, _KEY, "arrival_seq", "op_type")
 
 
 _FACT1 = f"""f as (select * exclude rn from (select {_SYM} as symbol, trade_id, price, quantity, quote_quantity, is_buyer_maker, lower(record_hash) as record_hash, row_number() over (partition by {_SYM}, trade_id order by updated_at desc nulls last, record_hash desc nulls last) as rn from fact_trades where symbol is not null and trade_id is not null) where rn = 1),
@@ -374,8 +397,9 @@ _CUT = "2022-01-02 12:00:00"
 @query(f"select trade_id, {_SYM} as symbol, trade_timestamp from realtime_raw_trades where not coalesce(trade_timestamp < timestamptz '{_CUT}+00', false)")
 def retention_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Rows that a retention sweep keeps: older than the cut-off (strictly) are deleted, null times stay."""
-    old = F.col("trade_timestamp").cast("timestamp") < F.timestamp_micros(F.lit(1_641_124_800_000_000))
-    return read(spark, d, "realtime_raw_trades").where(~F.coalesce(old, F.lit(False))).select("trade_id", canonical_symbol(F.col("symbol")).alias("symbol"), "trade_timestamp")
+    t = read(spark, d, "realtime_raw_trades").withColumn("trade_timestamp", F.col("trade_timestamp").cast("timestamp"))
+    kept = retention.sweep({"tape": (t, "trade_timestamp", 24)}, F.timestamp_micros(F.lit(1_641_124_800_000_000 + 24 * HOUR_MS * 1000)))["tape"][1]
+    return kept.select("trade_id", canonical_symbol(F.col("symbol")).alias("symbol"), "trade_timestamp")
 
 
 @query("""select 'not_null:trade_id' as check_name, count(*) filter (trade_id is null) as failures from stg_market_trades union all select 'not_null:symbol', count(*) filter (symbol is null) from stg_market_trades
@@ -395,13 +419,43 @@ def tape_top20(spark: SparkSession, d: str) -> DataFrame:
     return t.select(canonical_symbol(F.col("symbol")).alias("symbol"), "trade_id", "trade_timestamp", side).orderBy(F.desc("trade_timestamp"), "symbol", "trade_id").limit(20)
 
 
+@query(f"select {_SYM} as symbol, trade_id, trade_timestamp, printf('%.4f', price) as price_text from realtime_raw_trades where trade_timestamp is not null qualify row_number() over (partition by {_SYM} order by trade_timestamp desc, trade_id, price, quantity) <= 20")
+def tape_per_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 20 trades of each symbol: a top-k report."""
+    t = read(spark, d, "realtime_raw_trades").where("trade_timestamp is not null").withColumn("symbol", canonical_symbol(F.col("symbol")))
+    x = indicators.latest_per_key(t, "symbol", [F.desc("trade_timestamp"), F.col("trade_id"), F.col("price"), F.col("quantity")], 20)
+    return x.select("symbol", "trade_id", "trade_timestamp", F.format_string("%.4f", "price").alias("price_text"))
+
+
+@query(f"select {_SYM} as symbol, count(*) as n from stg_market_trades group by 1 order by 1")
+def counts_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "stg_market_trades").groupBy(canonical_symbol(F.col("symbol")).alias("symbol")).agg(F.count(F.lit(1)).alias("n")).orderBy("symbol")
+
+
+@query(f"""select extract(year from trade_timestamp)::varchar as year, lpad(extract(month from trade_timestamp)::varchar, 2, '0') as month, upper(trim(symbol)) as symbol, count(*) as n, 1 as n_files from stg_market_trades where trade_timestamp is not null and extract(day from trade_timestamp) = 3 group by all""")
+def lake_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The lake written in its layout, compacted, and one day read back through its folders: rows and files of each partition."""
+    path = scratch(spark, "lake")
+    lake.write_trades(read(spark, d, "stg_market_trades").where("trade_timestamp is not null").drop("partition_year", "partition_month", "partition_day"), path)
+    lake.compact_directory(spark, path, path + "-compact")
+    x = lake.read_trades(spark, path + "-compact").where("cast(day as int) = 3").withColumn("file", F.col("_metadata.file_path"))
+    return x.groupBy(F.col("year").cast("string").alias("year"), F.lpad(F.col("month").cast("string"), 2, "0").alias("month"), "symbol").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("file"), F.col("day")).cast("int").alias("n_files"))
+
+
 @query("""with e as (select event_id, event_type, value, case when event_type not in ('click', 'view', 'purchase', 'signup') then 'Unknown symbol' when not coalesce(value > 0, false) then 'Price must be positive' when not coalesce(cast(json_extract_string(props, '$.k') as double) > 0, false) then 'Volume must be positive' end as error from events)
 select coalesce(error, 'VALID') as error_code, count(*) as n from e group by all""")
 def dlq_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts by first failure of the stream validation."""
-    e = read(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").try_cast("double").alias("volume"), F.lit(0).alias("event_time"))
+    e = read(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.get_json_object("props", "$.k").try_cast("double").alias("volume"), F.col("event_id").alias("event_time"))
     x = quality.validated_stream(e, ["CLICK", "VIEW", "PURCHASE", "SIGNUP"])
-    return x.groupBy(F.coalesce("error", F.lit("VALID")).alias("error_code")).agg(F.count(F.lit(1)).alias("n"))
+    return dlq.summary(x.withColumn("error_code", F.coalesce("error", F.lit("VALID"))))
+
+
+@query("""select event_id, case when event_id * 40000000 > 1e11 then event_id * 40000000 else event_id * 40000000 * 1000 end as event_ms from events where event_type = 'purchase'""")
+def event_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Event times given in seconds or in milliseconds, as milliseconds: numbers above 10^11 are milliseconds."""
+    e = read(spark, d, "events").where("event_type = 'purchase'").select("event_id", F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.lit(1.0).alias("volume"), (F.col("event_id") * 40_000_000).alias("event_time"))
+    return quality.validated_stream(e, ["PURCHASE"]).select("event_id", F.col("event_ms").cast("long").alias("event_ms"))
 
 
 @query(f"""with {_CDC} select 'gate' as source, count(*) filter (op_type is null) as rejected, count(*) as n from ev union all select 'tape', count(*) filter (trade_timestamp is null), count(*) from realtime_raw_trades""")
@@ -415,8 +469,6 @@ def kpi_counts(spark: SparkSession, d: str) -> DataFrame:
 from stg_market_trades where trade_timestamp is not null group by all""")
 def partition_keys(spark: SparkSession, d: str) -> DataFrame:
     """Rows by lake path of their UTC day."""
-    from tradeloom.operators import lake
-
     k = lake.partition_columns(F.col("trade_timestamp").cast("timestamp"))
     path = F.concat(F.lit("year="), k["year"], F.lit("/month="), k["month"], F.lit("/day="), k["day"])
     return read(spark, d, "stg_market_trades").where("trade_timestamp is not null").groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
@@ -439,11 +491,11 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with t as (select l_orderkey * 10 + l_linenumber as trade_id, l_returnflag || l_linestatus as symbol, l_extendedprice as price, l_quantity as quantity, l_shipdate from lineitem)
-select symbol, cast(cast(l_shipdate as date) as varchar) as trade_date, count(*) as n, floor(cast(sum(cast(price as decimal(18,4)) * cast(quantity as decimal(18,4))) as double) / cast(sum(cast(quantity as decimal(18,4))) as double) * 10000.0::double + 0.5) / 10000.0::double as vwap from t group by all""")
+select symbol, cast(cast(l_shipdate as date) as varchar) as trade_date, count(*) as n, floor(cast(sum(cast(round(price * 1e8) as hugeint) * cast(round(quantity * 1e8) as hugeint)) as double) / 1e16 / (cast(sum(cast(round(quantity * 1e8) as hugeint)) as double) / 1e8) * 10000.0::double + 0.5) / 10000.0::double as vwap from t group by all""")
 def lineitem_daily_vwap(spark: SparkSession, d: str) -> DataFrame:
     """Daily vwap over the largest driver table."""
     x = read(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.to_date("l_shipdate").cast("string").alias("trade_date"))
-    p, q = marts.exact("price"), marts.exact("quantity")
-    return x.groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("n"), rounded(F.try_divide(F.sum(p * q).cast("double"), F.sum(q).cast("double")), 4).alias("vwap"))
+    pq, q = marts.exact_product("price", "quantity"), marts.exact("quantity")
+    return x.groupBy("symbol", "trade_date").agg(F.count(F.lit(1)).alias("n"), rounded(F.try_divide(F.sum(pq).cast("double"), F.sum(q).cast("double")), 4).alias("vwap"))
 
 
