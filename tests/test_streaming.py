@@ -1,5 +1,6 @@
 """Frames, registry, candles of streams, snapshot table."""
 
+import threading
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tradeloom.operators import semantic
 from tradeloom.operators.table import Conflict, SnapshotTable
 from tradeloom.sources import fixtures
-from tradeloom.streaming import backfill, codec, dlq, metrics, pipeline
+from tradeloom.streaming import backfill, codec, dlq, metrics, pipeline, run
 from tradeloom.streaming.registry import SUBJECT, TRADE_V1, TRADE_V2, IncompatibleSchema, Registry, check_backward
 
 BASE = 1_789_300_000_000
@@ -30,6 +31,32 @@ def test_round_trip_and_evolution():
             codec.decode(reg, bad)
 
 
+def test_columns_are_those_of_the_single_frames():
+    import random
+
+    import pyarrow as pa
+
+    reg, r = Registry(), random.Random(2)
+    data = []
+    for i in range(400):
+        row = {**ROW, "trade_id": r.choice([0, -1, 63, 64, 2**62, -(2**63), 2**63 - 1]), "symbol": r.choice(["", "É", "ABCUSDT" * r.randint(1, 30)]), "trade_type": r.choice([None, "", "LIMIT"])}
+        x = bytearray(codec.encode(reg, r.choice([1, 2]), row))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            x[r.randrange(len(x))] = r.randrange(256)
+        data.append(r.choice([None, b"", b"\x00" * 4]) if r.random() < 0.05 else bytes(x[: r.randint(0, len(x))] if r.random() < 0.2 else x))
+    ids, cols, errors = codec.decode_columns(reg, pa.array([b"skip", *data], pa.binary())[1:], 2)
+    names = [f["name"] for f in TRADE_V2["fields"]]
+    for i, x in enumerate(data):
+        got = (ids[i].as_py(), {n: c[i].as_py() for n, c in zip(names, cols, strict=True)})
+        try:
+            want = codec.decode(reg, x, 2)
+        except codec.BadFrame:
+            assert errors[i].as_py() and got == (None, dict.fromkeys(names))
+        else:
+            assert errors[i].as_py() is None and repr(got) == repr(want)
+    assert [len(c) for c in codec.decode_columns(reg, pa.array([], pa.binary()), 2)[1]] == [0] * len(names)
+
+
 def frames(spark, reg, rows):
     return spark.createDataFrame([(i, bytearray(x) if isinstance(x, bytes) else bytearray(codec.encode(reg, 2, {**ROW, **x}))) for i, x in enumerate(rows)], "seq long, payload binary")
 
@@ -171,3 +198,43 @@ def test_backfill_and_metrics(spark, tmp_path):
     m.add("stream_dlq_total", code="X")
     m.set("stream_watermark_ms", 5)
     assert 'stream_dlq_total{code="X"} 1' in m.text() and "stream_watermark_ms 5" in m.text()
+
+
+def test_audited_run_and_metrics(spark, tmp_path):
+    reg, m = Registry(), metrics.Metrics()
+    t = lambda s, **kw: {"trade_timestamp": BASE + s * 1000, **kw}
+    df = frames(spark, reg, [t(-30), t(-20, symbol="ETHUSDT"), b"\x07", t(-10, price=-2.0), t(45), t(-5)])
+    audit = run.audited(df, "payload", "seq", reg, str(tmp_path / "run"), m)
+    assert audit == {"frames": 6, "processed": 3, "late": 1, "rejected": {"DESERIALIZATION_FAILURE": 1, "DOMAIN_CONTRACT_VIOLATION": 1}, "candles": 3}
+    assert run.audited(df, "payload", "seq", reg, str(tmp_path / "run"))["candles"] == 3
+    server = metrics.serve(m)
+    try:
+        import urllib.error
+        import urllib.request
+
+        at = f"http://127.0.0.1:{server.server_port}"
+        text = urllib.request.urlopen(f"{at}/metrics", timeout=5).read().decode()
+        assert 'stream_events_total{status="quarantined",symbol="BTCUSDT"} 1' in text and 'stream_dlq_total{code="DESERIALIZATION_FAILURE"} 1' in text
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{at}/other", timeout=5)
+    finally:
+        server.shutdown()
+
+
+def test_live_pull_and_schedule(spark):
+    reg = Registry()
+    pages = {"A": iter([[{**ROW, "trade_id": 1}], [{**ROW, "trade_id": 1}, {**ROW, "trade_id": 2}]]), "B": iter([[], [{**ROW, "trade_id": 1}]])}
+    x = run.live(spark, lambda s: next(pages[s]), ["A", "B"], reg, 1, 2)
+    got = pipeline.checked(x, "payload", "seq", reg).select("symbol", "trade_id", "error_code").collect()
+    assert sorted(tuple(r) for r in got) == [("A", 1, None), ("A", 2, None), ("B", 1, None)]
+    seen, wrong = [], []
+
+    def job(n):
+        seen.append(n)
+        if n == 1:
+            raise ValueError("once")
+
+    assert run.scheduled(job, 0.01, threading.Event(), rounds=3, failed=wrong.append) == 3 and seen == [0, 1, 2] and len(wrong) == 1
+    stop = threading.Event()
+    stop.set()
+    assert run.scheduled(job, 0.01, stop) == 0

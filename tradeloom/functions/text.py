@@ -29,3 +29,26 @@ def eight_decimals(df: DataFrame, name: str) -> Column:
         digits = F.when(F.length(cents) < 9, F.lpad(cents, 9, "0")).otherwise(cents)
         return F.concat(F.when(d < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - 8), F.lit("."), F.right(digits, F.lit(8)))
     return F.when(c.isNotNull(), F.format_string("%.8f", c.cast("double")))
+
+
+def bytes_text(c: Column) -> Column:
+    """A size as text in the largest of B, KB, MB, GB, TB that leaves at least 1."""
+    out = F.concat(c.cast("string"), F.lit(" B"))
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(c >= 1024**i, F.concat(F.format_string("%.2f", c / 1024**i), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(c.isNotNull(), out)
+
+
+def money_text(c: Column, digits: int = 2) -> Column:
+    """An amount with thousands separated, half up."""
+    return F.format_number(c.cast("double"), digits)
+
+
+def hex_text(c: Column) -> Column:
+    """Bytes as small hexadecimal digits."""
+    return F.lower(F.hex(c))
+
+
+def clock_text(c: Column) -> Column:
+    """The clock of a moment with milliseconds, in the session's zone."""
+    return F.date_format(c, "HH:mm:ss.SSS")

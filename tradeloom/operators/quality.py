@@ -104,3 +104,16 @@ def checks(df: DataFrame, not_null: list[str] = (), unique: list[str] = (), acce
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+def quarantine(df: DataFrame, reasons: str, path: str, source: str) -> DataFrame:
+    """Append the rows with a reason to the quarantine as JSON lines and return the others. reasons: a text or an array of texts."""
+    some = F.size(reasons) > 0 if df.schema[reasons].dataType.typeName() == "array" else F.col(reasons).isNotNull()
+    bad = df.where(F.coalesce(some, F.lit(False)))
+    bad.select(F.current_timestamp().alias("quarantined_at"), F.lit(source).alias("source"), F.col(reasons).alias("reasons"), F.to_json(F.struct(*[c for c in df.columns if c != reasons])).alias("row")).write.mode("append").json(path)
+    return df.where(~F.coalesce(some, F.lit(False))).drop(reasons)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """df as JSON lines in place of what the folder holds."""
+    df.write.mode("overwrite").json(path)

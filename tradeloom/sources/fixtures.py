@@ -64,3 +64,17 @@ def stress_rows(spark: SparkSession, n: int = 100_000, seed: int = 42) -> DataFr
     sym = F.element_at(F.array(F.lit("BTCUSDT"), F.lit("ETHUSDT"), F.lit("SOLUSDT")), (F.pmod(key, F.lit(3)) + 1).cast("int"))
     text = F.when(h(2) < 20, F.format_string("%e", price)).otherwise(price.cast("string"))
     return spark.range(n).select(key.cast("string").alias("trade_id"), F.when(h(3) < 30, F.concat(F.lit("  "), F.lower(sym), F.lit(" "))).otherwise(sym).alias("symbol"), text.alias("price"), F.lit("0.5").alias("quantity"), F.lit("").alias("quote_quantity"), F.lit("2026-03-01T00:00:00+00:00").alias("trade_timestamp"), F.lit("True").alias("is_buyer_maker")).orderBy(F.xxhash64("trade_id", "price"))
+
+
+def steady_stream(n: int = 60, poison: bool = True) -> list[dict[str, object]]:
+    """n trades two seconds apart, the symbols in turn, and behind them one whose price is negative."""
+    one = lambda i, price: {"trade_id": i + 1, "symbol": ("BTCUSDT", "ETHUSDT", "SOLUSDT")[i % 3], "price": price, "volume": 0.25, "event_time": START_MS + 2000 * i}
+    return [one(i, 100.0 + i / 4) for i in range(n)] + ([one(n, -3.0)] if poison else [])
+
+
+def sample_trades(spark: SparkSession, symbol: str, n: int, price: float, seed: int = 42, spread: float = 0.02) -> DataFrame:
+    """Made-up trades around a price, within ``spread`` of it. Nothing falls back to them: they are there for a caller who asks."""
+    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_001)) / 1_000_000
+    p = F.round(F.lit(price) * (1 - spread + 2 * spread * u), 8)
+    x = spark.range(1, n + 1).select(F.col("id").alias("trade_id"), F.lit(symbol).alias("symbol"), p.alias("price"), F.round(u + 0.001, 8).alias("quantity"), F.timestamp_millis(F.lit(START_MS) + F.col("id") * 1000).alias("trade_timestamp"), (F.col("id") % 2 == 0).alias("is_buyer_maker"))
+    return x.withColumn("quote_quantity", F.col("price") * F.col("quantity"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TRADE = "array<struct<id: bigint, price: string, qty: string, quoteQty: string, time: bigint, isBuyerMaker: boolean, isBestMatch: boolean>>"
@@ -39,3 +41,34 @@ def with_retries(fetch: Callable[[], tuple[int, dict, str]], tries: int = 4, sle
         if n + 1 < tries:
             sleep(float(headers.get("Retry-After", 1)) + random.random() if status in (418, 429) else 1.5**n)
     raise RuntimeError(f"no answer in {tries} tries")
+
+
+def paged(fetch: Callable[[dict[str, object]], tuple[int, dict, str]], limit: int = 1000, start: int | None = None, pages: int | None = None, tries: int = 4, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """Bodies of successive pages, each from the id behind the last one of the page before; a short page is the last.
+
+    fetch takes the parameters (limit, fromId) and answers as in ``with_retries``. A repeated last id ends the walk, so an
+    interface that ignores fromId can't loop.
+    """
+    last, n = None if start is None else start - 1, 0
+    while pages is None or n < pages:
+        params: dict[str, object] = {"limit": limit} | ({} if last is None else {"fromId": last + 1})
+        body = with_retries(lambda params=params: fetch(params), tries, sleep)
+        rows = json.loads(body)
+        if not rows:
+            return
+        yield body
+        n += 1
+        top = max(int(r["id"]) for r in rows)
+        if len(rows) < limit or (last is not None and top <= last):
+            return
+        last = top
+
+
+def pull(spark: SparkSession, fetches: dict[str, Callable[[dict[str, object]], tuple[int, dict, str]]], workers: int = 8, **kw: object) -> DataFrame:
+    """The trades of several symbols, their pages fetched side by side; one that stays without an answer is an error."""
+    def all_pages(item: tuple[str, Callable]) -> list[tuple[str, str]]:
+        return [(item[0], body) for body in paged(item[1], **kw)]
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        rows = [r for part in pool.map(all_pages, sorted(fetches.items())) for r in part]
+    return trades(spark.createDataFrame(rows, "symbol string, body string"), "body", "symbol")

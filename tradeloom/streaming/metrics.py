@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -49,3 +51,23 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         pass
+
+
+def serve(metrics: Metrics, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """Answer GET /metrics with the text, in a thread of its own; port 0 takes a free one (``server_port``). ``shutdown()`` ends it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:  # noqa: N802
+            body = metrics.text().encode() if self.path.split("?")[0] == "/metrics" else None
+            self.send_response(200 if body is not None else 404)
+            self.send_header("Content-Type", "text/plain; version=0.0.4")
+            self.send_header("Content-Length", str(len(body or b"")))
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *args: object) -> None:
+            pass
+
+    server = ThreadingHTTPServer((host, port), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    return server
